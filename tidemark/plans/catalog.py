@@ -43,10 +43,5 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def dbl(cols: str) -> str:
-    """SQL select list with the named money columns cast to double."""
-    return cols
-
-
 # Importing the query modules fills the registry.
-from tidemark.plans import queries_core  # noqa: E402,F401
+from tidemark.plans import queries_core, queries_more, queries_revenue  # noqa: E402,F401
