@@ -44,4 +44,6 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 
 
 # Importing the query modules fills the registry.
-from tidemark.plans import queries_core, queries_more, queries_revenue  # noqa: E402,F401
+from tidemark.plans import (  # noqa: E402,F401
+    queries_core, queries_more, queries_revenue, queries_stream,
+)

@@ -30,9 +30,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer")
-    n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return map_users(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation"),
+                     _read(spark, sf_dir, "region"))
+
+
+def map_users(c: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """customer (batch or stream) joined to its region -> users."""
+    n = nation.select("n_nationkey", "n_regionkey")
+    r = region.select("r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     return (c.join(geo, c.c_nationkey == geo.n_nationkey)
             .select(F.col("c_custkey").alias("user_id"),
@@ -46,7 +51,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+    return map_events(_read(spark, sf_dir, "events"))
+
+
+def map_events(e: DataFrame) -> DataFrame:
+    """Driver events (batch or stream) -> user_events."""
     t, v = F.col("event_type"), F.col("value")
     kind = (F.when((t == "signup") & (v >= 120), "board_created")
             .when((t == "purchase") & (v >= 100), "member_invited")
