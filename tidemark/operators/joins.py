@@ -9,11 +9,17 @@ execution splits partitions of hot keys (see ``session.SQL_DEFAULTS``).
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 _CONF_KEY = "spark.tidemark.broadcastMaxRows"
+# A proven bound is remembered per plan for a short while, so the many
+# operators of one report run do not each re-count the same dimension.
+_MEMO_SECONDS = 300.0
+_memo: dict[tuple, tuple[float, bool]] = {}
 
 
 def broadcast_bound(df: DataFrame) -> int:
@@ -25,7 +31,14 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     bound = broadcast_bound(df) if max_rows is None else max_rows
     if bound <= 0:
         return False
-    return df.limit(bound + 1).count() <= bound
+    key = (id(df.sparkSession), df.semanticHash(), bound)
+    now = time.monotonic()
+    hit = _memo.get(key)
+    if hit is not None and now - hit[0] < _MEMO_SECONDS:
+        return hit[1]
+    ok = df.limit(bound + 1).count() <= bound
+    _memo[key] = (now, ok)
+    return ok
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",

@@ -115,10 +115,43 @@ def check_frame(check: Check, frames: dict[str, DataFrame]) -> DataFrame:
     raise ValueError(f"singular checks are passed as frames: {check.name}")
 
 
-def run_suite(results: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(name, violating rows) pairs -> one row per test."""
+def count_checks(checks: list[Check], frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """(test_name, violations) frames.  All not_null checks of one table
+    share a single aggregate pass over it; the others need their own
+    grouping or anti-join."""
+    out: list[DataFrame] = []
+    by_table: dict[str, list[Check]] = {}
+    for c in checks:
+        if c.kind == "not_null":
+            by_table.setdefault(c.table, []).append(c)
+        else:
+            out.append(check_frame(c, frames).agg(F.count(F.lit(1)).alias("violations"))
+                       .select(F.lit(c.name).alias("test_name"), "violations"))
+    for table, cs in by_table.items():
+        counts = frames[table].agg(*[F.count_if(F.col(c.column).isNull()).alias(f"v{i}")
+                                     for i, c in enumerate(cs)])
+        cells = F.array(*[F.struct(F.lit(c.name).alias("test_name"),
+                                   F.col(f"v{i}").alias("violations"))
+                          for i, c in enumerate(cs)])
+        out.append(counts.select(F.inline(cells)))
+    return out
+
+
+def run_suite(results: list[tuple[str, DataFrame]],
+              counted: list[DataFrame] = ()) -> DataFrame:
+    """(name, violating rows) pairs, plus frames already reduced to
+    (test_name, violations) -> one row per test."""
     counts = [df.agg(F.count(F.lit(1)).alias("violations"))
               .select(F.lit(name).alias("test_name"), "violations")
-              for name, df in results]
-    out = reduce(DataFrame.unionByName, counts)
+              for name, df in results] + list(counted)
+    out = union_all(counts)
     return out.select("test_name", "violations", (F.col("violations") == 0).alias("passed"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union of same-shaped frames as a balanced tree (plan depth log n)."""
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [frames[i].union(frames[i + 1]) if i + 1 < len(frames) else frames[i]
+                  for i in range(0, len(frames), 2)]
+    return frames[0]

@@ -67,7 +67,7 @@ def q_kpi_dau_wau_mau(s, d):
          CAST(CAST(CAST(cents AS DECIMAL(16,2)) / 100 AS DECIMAL(16,2)) AS DOUBLE) AS dollars
   FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) o"""))
 def q_cents_to_dollars(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet")
+    o = B.read_driver_table(s, d, "orders")
     c = o.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return c.select("o_orderkey", "cents", cents_to_dollars("cents").alias("dollars"))
 
@@ -95,7 +95,7 @@ def q_dq_not_null(s, d):
   WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
   GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""))
 def q_dq_unique(s, d):
-    return Q.unique(s.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber")
+    return Q.unique(B.read_driver_table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @register("dq_accepted_values", sql("""
@@ -267,6 +267,6 @@ def q_scan_csv_seed(s, d):
     """The customer table exported as a headed CSV seed, scanned back with
     an explicit schema in FAILFAST mode."""
     from tidemark.sources.seeds import scan_csv_seed, write_csv_seed
-    c = s.read.parquet(f"{d}/customer.parquet")
+    c = B.read_driver_table(s, d, "customer")
     path = write_csv_seed(c, SK.scratch_table_path(s, "seed_customer"))
     return scan_csv_seed(s, path, c.schema)

@@ -12,7 +12,7 @@ from tidemark.streaming import queries as SQ
 
 
 def _source(spark, sf_dir, table):
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    schema = B.read_driver_table(spark, sf_dir, table).schema
     return SQ.read_stream(spark, sf_dir, schema, glob=f"{table}.parquet",
                           max_files_per_trigger=1)
 
@@ -50,7 +50,7 @@ def q_stream_funnel_snapshot(s, d):
                                        "stg_users"))
 def q_stream_weekly_signups(s, d):
     base = scratch_path(s, "stream_weekly_signups")
-    users = B.map_users(_source(s, d, "customer"), s.read.parquet(f"{d}/nation.parquet"),
-                        s.read.parquet(f"{d}/region.parquet"))
+    users = B.map_users(_source(s, d, "customer"), B.read_driver_table(s, d, "nation"),
+                        B.read_driver_table(s, d, "region"))
     SQ.weekly_signups_stream(users, f"{base}/table", f"{base}/_checkpoint")
     return SQ.read_result(s, f"{base}/table").select("signup_week", "signups")

@@ -56,6 +56,14 @@ class Filters:
 ALL = Filters()
 
 
+def ordered_small(df: DataFrame, *cols) -> DataFrame:
+    """ORDER BY for a report whose row count is bounded by its grouping keys
+    (regions, plans, stages, weeks): the aggregate stays parallel, its few
+    output rows move to one partition and are sorted there -- no range
+    partitioning and no sampling job."""
+    return df.repartition(1).sortWithinPartitions(*cols)
+
+
 def apply_filters(df: DataFrame, f: Filters = ALL, regions: bool = True,
                   sources: bool = True) -> DataFrame:
     if regions and f.region_values() is not None:
@@ -110,16 +118,16 @@ def kpi_current_mrr(waterfall: DataFrame) -> DataFrame:
 
 
 def weekly_signups(dim_users: DataFrame, f: Filters = ALL) -> DataFrame:
-    return (apply_filters(dim_users, f).groupBy("signup_week")
-            .agg(F.count(F.lit(1)).alias("signups")).orderBy("signup_week"))
+    return ordered_small(apply_filters(dim_users, f).groupBy("signup_week")
+                         .agg(F.count(F.lit(1)).alias("signups")), "signup_week")
 
 
 def activation_by_source(dim_users: DataFrame, f: Filters = ALL) -> DataFrame:
     """Uses ``is_activated`` (>= 2 invites in week 1); region filter only."""
     agg = (apply_filters(dim_users, f, sources=False).groupBy("signup_source")
            .agg(F.count(F.lit(1)).alias("total"), _flag("is_activated").alias("activated")))
-    return (agg.withColumn("activation_rate", pct1("activated", "total"))
-            .orderBy(F.desc("activation_rate")))
+    return ordered_small(agg.withColumn("activation_rate", pct1("activated", "total")),
+                         F.desc("activation_rate"))
 
 
 def funnel_counts(snapshot: DataFrame, f: Filters = ALL) -> DataFrame:
@@ -148,11 +156,11 @@ def funnel_by_region(snapshot: DataFrame, f: Filters = ALL) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         _flag("completed_board").alias("b"), _flag("completed_invite").alias("i"),
         _flag("completed_week2").alias("w"), _flag("completed_conversion").alias("c"))
-    return agg.select("region", "total",
-                      pct1("b", "total").alias("board_rate"),
-                      pct1("i", "total").alias("invite_rate"),
-                      pct1("w", "total").alias("week2_rate"),
-                      pct1("c", "total").alias("conversion_rate")).orderBy("region")
+    return ordered_small(agg.select("region", "total",
+                                    pct1("b", "total").alias("board_rate"),
+                                    pct1("i", "total").alias("invite_rate"),
+                                    pct1("w", "total").alias("week2_rate"),
+                                    pct1("c", "total").alias("conversion_rate")), "region")
 
 
 def conversion_by_activation(snapshot: DataFrame, f: Filters = ALL) -> DataFrame:
@@ -170,9 +178,9 @@ def _retention_rate(alias: str):
 
 
 def retention_by_cohort(flags: DataFrame, f: Filters = ALL) -> DataFrame:
-    return (apply_filters(flags, f).groupBy("cohort_week", "retention_day")
-            .agg(_retention_rate("retention_rate"), F.count(F.lit(1)).alias("cohort_size"))
-            .orderBy("cohort_week", "retention_day"))
+    agg = (apply_filters(flags, f).groupBy("cohort_week", "retention_day")
+           .agg(_retention_rate("retention_rate"), F.count(F.lit(1)).alias("cohort_size")))
+    return ordered_small(agg, "cohort_week", "retention_day")
 
 
 def retention_heatmap(by_cohort: DataFrame, windows=WINDOWS, min_values: int = 3,
@@ -185,12 +193,13 @@ def retention_heatmap(by_cohort: DataFrame, windows=WINDOWS, min_values: int = 3
     wide = wide.select("cohort_week", *[F.col(str(d)).alias(f"d{d}") for d in days])
     present = sum(F.col(f"d{d}").isNotNull().cast("int") for d in days)
     kept = wide.filter(present >= min_values)
-    return kept.orderBy(F.desc("cohort_week")).limit(last_n).orderBy("cohort_week")
+    return ordered_small(kept.orderBy(F.desc("cohort_week")).limit(last_n), "cohort_week")
 
 
 def _retention_by(flags: DataFrame, col: str, f: Filters) -> DataFrame:
-    return (apply_filters(flags, f).groupBy(F.col(col).alias("segment"), "retention_day")
-            .agg(_retention_rate("retention_rate")).orderBy("segment", "retention_day"))
+    agg = (apply_filters(flags, f).groupBy(F.col(col).alias("segment"), "retention_day")
+           .agg(_retention_rate("retention_rate")))
+    return ordered_small(agg, "segment", "retention_day")
 
 
 def retention_by_region(flags: DataFrame, f: Filters = ALL) -> DataFrame:
@@ -202,9 +211,9 @@ def retention_by_source(flags: DataFrame, f: Filters = ALL) -> DataFrame:
 
 
 def retention_summary(flags: DataFrame, f: Filters = ALL) -> DataFrame:
-    return (apply_filters(flags, f).groupBy("retention_day")
-            .agg(_retention_rate("overall_rate"), F.countDistinct("user_id").alias("users"))
-            .orderBy("retention_day"))
+    agg = (apply_filters(flags, f).groupBy("retention_day")
+           .agg(_retention_rate("overall_rate"), F.countDistinct("user_id").alias("users")))
+    return ordered_small(agg, "retention_day")
 
 
 def mrr_series(waterfall: DataFrame) -> DataFrame:
@@ -215,7 +224,8 @@ def mrr_series(waterfall: DataFrame) -> DataFrame:
         F.struct(F.lit("expansion").alias("series"), F.col("expansion_mrr").alias("value")),
         F.struct(F.lit("churn").alias("series"), (-F.col("churn_mrr")).alias("value")),
         F.struct(F.lit("ending").alias("series"), F.col("ending_mrr").alias("value")))
-    return waterfall.select("report_month", F.inline(rows)).orderBy("report_month", "series")
+    return ordered_small(waterfall.select("report_month", F.inline(rows)),
+                         "report_month", "series")
 
 
 def revenue_by_region(dim_users: DataFrame) -> DataFrame:
@@ -225,15 +235,15 @@ def revenue_by_region(dim_users: DataFrame) -> DataFrame:
         F.sum("current_mrr").alias("total_mrr"),
         F.sum((F.col("current_mrr") * 100).cast("long")).alias("cents"),
         F.count("current_mrr").alias("n"))
-    return (agg.select("region", "paying_users", "total_mrr",
-                       round_cents_avg("cents", "n").alias("arpu"))
-            .orderBy(F.desc("total_mrr")))
+    return ordered_small(agg.select("region", "paying_users", "total_mrr",
+                                    round_cents_avg("cents", "n").alias("arpu")),
+                         F.desc("total_mrr"))
 
 
 def plan_distribution(dim_users: DataFrame) -> DataFrame:
     agg = dim_users.groupBy("current_plan").agg(F.count(F.lit(1)).alias("users"),
                                                 F.sum("current_mrr").alias("total_mrr"))
     everyone = F.sum("users").over(Window.partitionBy())
-    return (agg.select("current_plan", "users", "total_mrr",
-                       pct1(F.col("users"), everyone).alias("user_share"))
-            .orderBy(F.desc("total_mrr")))
+    return ordered_small(agg.select("current_plan", "users", "total_mrr",
+                                    pct1(F.col("users"), everyone).alias("user_share")),
+                         F.desc("total_mrr"))
