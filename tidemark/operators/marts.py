@@ -57,6 +57,13 @@ def funnel_snapshot(users: DataFrame, events: DataFrame, subs: DataFrame,
     lags in hours (board -> invite may be negative), completion flags."""
     journey = user_journey(stg_users(users), events, subs, funnel, activation,
                            keep=("region", "signup_source", "signup_week", "signup_month"))
+    return snapshot_from(journey)
+
+
+def snapshot_from(journey: DataFrame) -> DataFrame:
+    """The snapshot's columns from a frame holding the user's attributes and
+    journey (``user_journey`` output or ``dim_users``), so a run that builds
+    dim_users gets the snapshot without a second pass over events."""
     return journey.select(
         "user_id", "region", "signup_source",
         F.col("signup_week").alias("cohort_week"), F.col("signup_month").alias("cohort_month"),

@@ -49,7 +49,9 @@ def predecessor_mrr(subs: DataFrame) -> DataFrame:
 def _spine_join(spark: SparkSession, monthly: DataFrame, first_month, last_month) -> DataFrame:
     spine = month_series(spark, first_month, last_month, "report_month")
     measures = ("new_mrr", "expansion_mrr", "contraction_mrr", "churn_mrr")
-    j = spine.join(monthly, "report_month", "left")
+    # both sides hold one row per month; the monthly aggregate is broadcast
+    # (its size is bounded by the months the data spans)
+    j = spine.join(F.broadcast(monthly), "report_month", "left")
     zero = F.lit(0).cast("decimal(10,2)")
     filled = j.select("report_month", *[F.coalesce(F.col(m), zero).alias(m) for m in measures])
     net = (F.col("new_mrr") + F.col("expansion_mrr") - F.col("contraction_mrr")

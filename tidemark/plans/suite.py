@@ -159,6 +159,7 @@ def driver_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     users, events, subs = (B.users(spark, sf_dir), B.user_events(spark, sf_dir),
                            B.subscriptions(spark, sf_dir))
+    dim = M.dim_users(users, events, subs)
     span = subs.agg(F.min(F.to_date("started_at")).alias("lo"),
                     F.max(F.to_date("started_at")).alias("hi"))
     return {
@@ -166,11 +167,11 @@ def driver_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "feature_usage": B.feature_usage(spark, sf_dir),
         "invoices": B.invoices(spark, sf_dir), "conversations": B.conversations(spark, sf_dir),
         "retention_flags": RT.retention_flags(users, events, subs),
-        "dim_users": M.dim_users(users, events, subs),
+        "dim_users": dim,
         "dim_plans": L.dim_plans(spark), "dim_features": L.dim_features(spark),
         "dim_date": M.dim_date(spark, F.col("lo"), F.col("hi"), bounds=span),
         "fct_user_events": M.fct_user_events(users, events),
         "fct_subscriptions": M.fct_subscriptions(users, subs),
-        "funnel_snapshot": M.funnel_snapshot(users, events, subs),
+        "funnel_snapshot": M.snapshot_from(dim),
         "mrr_waterfall": RV.mrr_waterfall(subs, B.MRR_FIRST_MONTH, B.MRR_LAST_MONTH),
     }

@@ -20,6 +20,12 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Broadcasts happen only behind a proven bound: explicit ones after a
+    # row-count check (operators.joins) or of fixed-size literal relations,
+    # and adaptive ones decided from measured shuffle sizes.  The static
+    # planner's file-size estimates (compressed bytes) are not trusted.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     # Incremental loads overwrite only the event_date partitions they touch.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Python call-site capture costs four JVM round trips per column function
