@@ -33,6 +33,17 @@ def trunc_ts(unit: str, col) -> Column:
     return F.date_trunc(unit, _c(col)).cast("timestamp_ntz")
 
 
+def ntz_lit(value) -> Column:
+    """A naive timestamp literal, independent of the session time zone."""
+    if isinstance(value, _dt.datetime):
+        text = value.isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        text = f"{value.isoformat()} 00:00:00"
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def add_days(col, days) -> Column:
     n = days if isinstance(days, Column) else F.lit(int(days))
     return _c(col) + F.make_dt_interval(days=n.cast("int"))

@@ -21,6 +21,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.timeops import ntz_lit
 from tidemark.operators.marts import FCT_EVENT_COLUMNS, fct_user_events
 
 
@@ -47,13 +48,13 @@ def select_batch(events: DataFrame, hwm, mode: str = "strict",
         if hwm is None:
             # NULL maximum: the comparison is never true
             return events.filter(F.lit(False))
-        return events.filter(ts > F.lit(hwm))
+        return events.filter(ts > ntz_lit(hwm))
     if mode == "lookback":
         if hwm is None:
             picked = events
         else:
             since = hwm - _dt.timedelta(days=lookback_days)
-            picked = events.filter(ts > F.lit(since))
+            picked = events.filter(ts > ntz_lit(since))
         return _dedupe_latest(picked)
     raise ValueError(f"unknown mode {mode!r}")
 

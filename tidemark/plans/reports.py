@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rates import pct1, round_cents_avg
+from tidemark.functions.timeops import ntz_lit
 from tidemark.operators.retention import WINDOWS
 
 # The dashboard's region list and its fallback source.
@@ -100,7 +101,7 @@ def kpi_dau_wau_mau(fct_events: DataFrame, as_of) -> DataFrame:
     day = _as_date(as_of)
     d1, d7, d30 = (day - _dt.timedelta(days=n) for n in (1, 7, 30))
     since = _dt.datetime.combine(d30, _dt.time())
-    recent = fct_events.filter((F.col("event_timestamp") >= F.lit(since))
+    recent = fct_events.filter((F.col("event_timestamp") >= ntz_lit(since))
                                & (F.col("event_date") >= F.lit(d30))
                                & F.col("user_id").isNotNull())
     per_user = recent.groupBy("user_id").agg(

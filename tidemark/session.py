@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# SQL settings the library assumes.  All are runtime-settable, so they can be
-# applied to a session someone else built (the driver's, a notebook's).
-SQL_DEFAULTS = {
-    # Naive timestamps everywhere: literals and casts stay TIMESTAMP_NTZ.
+# Settings results depend on: naive timestamps everywhere, truncations done
+# in UTC (no daylight-saving gaps).  Always applied.
+SQL_REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
+}
+
+# Execution settings the library is tuned for.  All are runtime-settable, so
+# they can be applied to a session someone else built (the driver's, a
+# notebook's); a value the owner of the session set explicitly is kept.
+SQL_DEFAULTS = {
     # Adaptive execution: coalesce small shuffle partitions, split skewed
     # join partitions (activity is heavy-tailed per user), even when the
     # split needs an extra exchange for the aggregate that follows the join.
@@ -35,9 +40,12 @@ SQL_DEFAULTS = {
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    for key, value in SQL_DEFAULTS.items():
+    for key, value in SQL_REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in SQL_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:      # not set explicitly
+            spark.conf.set(key, value)
     return spark
 
 
@@ -54,6 +62,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
         **SQL_DEFAULTS,
+        **SQL_REQUIRED,
         **(extra or {}),
     }
     for key, value in conf.items():

@@ -61,8 +61,8 @@ def map_users(c: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """customer (batch or stream) joined to its region -> users."""
     n = nation.select("n_nationkey", "n_regionkey")
     r = region.select("r_regionkey", "r_name")
-    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
-    # nation x region is a fixed 25-row table
+    # nation (25 rows) and region (5 rows) are fixed-size tables
+    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey)
             .select(F.col("c_custkey").alias("user_id"),
                     F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
