@@ -116,15 +116,17 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     add_seconds(_shifted("o_orderdate"),
                                 F.col("o_orderkey") % 86400).alias("started_at"))
     w = Window.partitionBy("user_id").orderBy("started_at", "subscription_id")
-    prev = F.lag("mrr").over(w)
+    # one lag and one lead, computed once; the CASE reads the column
+    stepped = base.select("*", F.lag("mrr").over(w).alias("_prev"),
+                          F.lead("started_at").over(w).alias("ended_at"))
+    prev = F.col("_prev")
     change = (F.when(prev.isNull(), "new")
               .when((F.col("mrr") == 0) & (prev > 0), "churn")
               .when(F.col("mrr") > prev, "expansion")
               .when(F.col("mrr") < prev, "contraction")
               .otherwise("renewal"))
-    return base.select("subscription_id", "user_id", "plan", "mrr", "started_at",
-                       F.lead("started_at").over(w).alias("ended_at"),
-                       change.alias("change_type"))
+    return stepped.select("subscription_id", "user_id", "plan", "mrr", "started_at",
+                          "ended_at", change.alias("change_type"))
 
 
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
