@@ -9,10 +9,11 @@ with them.  Ids keep the driver's integer type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import add_days, add_seconds
+from tidemark.operators.neighbors import with_neighbors
 from tidemark.sources.tables import Tables
 
 # Fixed values of the binding (FIXTURES.md C).
@@ -100,7 +101,8 @@ def _shifted(col: str):
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One subscription row per order.  ended_at and change_type come from the
     neighbouring rows of the same user (a fixture adapter; real billing
-    exports carry both columns)."""
+    exports carry both columns), found without gathering a user's rows in
+    one task (``operators.neighbors``)."""
     o = _read(spark, sf_dir, "orders")
     pri = F.col("o_orderpriority")
     plan = (F.when(F.col("o_custkey") % 3 != 0, "free")
@@ -115,18 +117,20 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     plan.alias("plan"), mrr.alias("mrr"),
                     add_seconds(_shifted("o_orderdate"),
                                 F.col("o_orderkey") % 86400).alias("started_at"))
-    w = Window.partitionBy("user_id").orderBy("started_at", "subscription_id")
-    # one lag and one lead, computed once; the CASE reads the column
-    stepped = base.select("*", F.lag("mrr").over(w).alias("_prev"),
-                          F.lead("started_at").over(w).alias("ended_at"))
-    prev = F.col("_prev")
+    # previous MRR and next start of the same user, ordered by (started_at,
+    # subscription_id); a hot user is spread over day buckets
+    stepped = with_neighbors(base, "user_id", ["started_at", "subscription_id"],
+                             F.to_date("started_at"), prev_cols=["mrr"],
+                             next_cols=["started_at"])
+    prev = F.col("prev_mrr")
     change = (F.when(prev.isNull(), "new")
               .when((F.col("mrr") == 0) & (prev > 0), "churn")
               .when(F.col("mrr") > prev, "expansion")
               .when(F.col("mrr") < prev, "contraction")
               .otherwise("renewal"))
     return stepped.select("subscription_id", "user_id", "plan", "mrr", "started_at",
-                          "ended_at", change.alias("change_type"))
+                          F.col("next_started_at").alias("ended_at"),
+                          change.alias("change_type"))
 
 
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
