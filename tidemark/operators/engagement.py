@@ -15,50 +15,30 @@ distinct aggregate.  Users without events are kept by a left join from users.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeops import add_days
+from tidemark.functions.timeops import DAY_US, add_days, elapsed_micros
 from tidemark.operators.joins import join_dimension
 
 
-# Milestone definitions and activation weights.
-@dataclass(frozen=True)
-class FunnelSpec:
-    board_event: str = "board_created"
-    invite_event: str = "member_invited"
-    week2_from_days: int = 7
-    week2_to_days: int = 14
-    paid_plans: tuple = ("pro", "enterprise")
-
-
-@dataclass(frozen=True)
-class ActivationSpec:
-    window_days: int = 7
-    board_event: str = "board_created"
-    invite_event: str = "member_invited"
-    task_event: str = "task_created"
-    board_tiers: tuple = ((1, 20),)
-    invite_tiers: tuple = ((3, 40), (2, 30), (1, 15))
-    task_tiers: tuple = ((5, 20), (2, 10))
-    day_tiers: tuple = ((5, 20), (3, 10))
-    max_score: int = 100
-    activated_min_invites: int = 2
-
-
-STAGES = ((5, "converted"), (4, "retained_week2"), (3, "invited_member"),
-          (2, "created_board"), (1, "signed_up_only"))
+from tidemark.operators.specs import STAGES, WINDOWS, ActivationSpec, FunnelSpec  # noqa: F401
 
 MILESTONES = ("created_first_board_at", "invited_first_member_at", "active_in_week_2_at")
 WEEK1_COUNTS = ("boards_created_week1", "members_invited_week1", "tasks_created_week1",
                 "total_events_week1", "active_days_week1")
 
 
+def retained_col(day: int) -> str:
+    return f"retained_d{day}"
+
+
 def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = FunnelSpec(),
-                 activation: ActivationSpec = ActivationSpec()) -> DataFrame:
-    """Per user with events: 3 milestone timestamps and 5 week-1 counts."""
+                 activation: ActivationSpec = ActivationSpec(),
+                 windows=WINDOWS) -> DataFrame:
+    """Per user with events: 3 milestone timestamps, 5 week-1 counts and one
+    0/1 retention flag per window -- everything per user that events give,
+    in one pass.  Readers select what they need; Catalyst drops the rest."""
     ev = events.select("user_id", "event_type", "event_timestamp")
     su = users.select("user_id", "signed_up_at")
     j = join_dimension(ev, su, "user_id")
@@ -66,7 +46,11 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
     # No lower bound: events before signup count as week 1.
     in_w1 = ts < add_days(s, activation.window_days)
     in_w2 = (ts >= add_days(s, funnel.week2_from_days)) & (ts < add_days(s, funnel.week2_to_days))
+    d_us = elapsed_micros(s, ts)
+    flags = [F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
+             .alias(f"f{day}") for day, lo, hi in windows]
     daily = j.groupBy("user_id", F.to_date(ts).alias("event_date")).agg(
+        *flags,
         F.min(F.when(t == funnel.board_event, ts)).alias("b_at"),
         F.min(F.when(t == funnel.invite_event, ts)).alias("i_at"),
         F.min(F.when(in_w2, ts)).alias("w2_at"),
@@ -85,7 +69,8 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
         F.sum("n1").alias("total_events_week1"),
         # a NULL date (NULL timestamp) is not an active day
         F.count_if((F.col("any1") > 0) & F.col("event_date").isNotNull())
-        .alias("active_days_week1"))
+        .alias("active_days_week1"),
+        *[F.max(f"f{day}").alias(retained_col(day)) for day, _, _ in windows])
 
 
 def first_paid(subs: DataFrame, funnel: FunnelSpec = FunnelSpec()) -> DataFrame:
@@ -127,12 +112,12 @@ def score_expr(spec: ActivationSpec = ActivationSpec()) -> Column:
 def user_journey(users: DataFrame, events: DataFrame, subs: DataFrame,
                  funnel: FunnelSpec = FunnelSpec(),
                  activation: ActivationSpec = ActivationSpec(),
-                 keep: tuple = ()) -> DataFrame:
+                 keep: tuple = (), rollup: DataFrame | None = None) -> DataFrame:
     """Every user: funnel milestones, stage, week-1 counts, score, flag.
 
     ``keep`` carries further user columns through, so marts need no second
-    join back to users."""
-    roll = event_rollup(users, events, funnel, activation)
+    join back to users.  ``rollup`` may be a built ``event_rollup`` table."""
+    roll = rollup if rollup is not None else event_rollup(users, events, funnel, activation)
     base = users.select("user_id", "signed_up_at", *keep)
     j = (base.join(roll, "user_id", "left")
          .join(first_paid(subs, funnel), "user_id", "left"))

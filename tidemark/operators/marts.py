@@ -37,10 +37,12 @@ _USER_ATTRS = ("email", "full_name", "region", "signup_source", "signup_week",
 
 def dim_users(users: DataFrame, events: DataFrame, subs: DataFrame,
               funnel: FunnelSpec = FunnelSpec(),
-              activation: ActivationSpec = ActivationSpec()) -> DataFrame:
-    """User dimension: attributes, current plan, milestones, activation."""
+              activation: ActivationSpec = ActivationSpec(),
+              rollup: DataFrame | None = None) -> DataFrame:
+    """User dimension: attributes, current plan, milestones, activation.
+    ``rollup`` may be a built ``event_rollup`` table (then events is unused)."""
     journey = user_journey(stg_users(users), events, subs, funnel, activation,
-                           keep=_USER_ATTRS)
+                           keep=_USER_ATTRS, rollup=rollup)
     j = journey.join(current_plan(subs), "user_id", "left")
     return j.select(
         *DIM_USERS_COLUMNS[:9],
@@ -52,11 +54,13 @@ def dim_users(users: DataFrame, events: DataFrame, subs: DataFrame,
 
 def funnel_snapshot(users: DataFrame, events: DataFrame, subs: DataFrame,
                     funnel: FunnelSpec = FunnelSpec(),
-                    activation: ActivationSpec = ActivationSpec()) -> DataFrame:
+                    activation: ActivationSpec = ActivationSpec(),
+                    rollup: DataFrame | None = None) -> DataFrame:
     """Accumulating snapshot: one row per user, one timestamp per milestone,
     lags in hours (board -> invite may be negative), completion flags."""
     journey = user_journey(stg_users(users), events, subs, funnel, activation,
-                           keep=("region", "signup_source", "signup_week", "signup_month"))
+                           keep=("region", "signup_source", "signup_week", "signup_month"),
+                           rollup=rollup)
     return snapshot_from(journey)
 
 

@@ -1,10 +1,10 @@
 """Cohort retention flags: user x window -> retained 0/1.
 
 A user is retained in a window [lo, hi) when any event falls between lo and
-hi days after signup (elapsed time, fractions of a day kept).  One pass:
-events joined to signup time, filtered to the union of windows, reduced to
-one row per user with one flag per window (partial aggregation absorbs hot
-users), then left-joined from users and unpivoted to one row per window.
+hi days after signup (elapsed time, fractions of a day kept).  The flags come
+from the one-pass event rollup (events joined to signup time, reduced per
+(user, day) then per user -- partial aggregation absorbs hot users); users
+are left-joined and unpivoted to one row per window.
 """
 
 from __future__ import annotations
@@ -12,49 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeops import DAY_US, add_days, elapsed_micros, trunc_date
-from tidemark.operators.joins import join_dimension
+from tidemark.functions.timeops import add_days, trunc_date
+from tidemark.operators.engagement import event_rollup, retained_col
 from tidemark.operators.revenue import current_plan
-
-# Retention day -> window [lo, hi) in days since signup.
-WINDOWS = ((1, 1, 8), (7, 7, 14), (14, 14, 21), (30, 30, 37), (60, 60, 67), (90, 90, 97))
+from tidemark.operators.specs import WINDOWS
 
 FLAG_COLUMNS = ("user_id", "cohort_week", "region", "signup_source", "plan_at_latest",
                 "retention_day", "is_retained")
 
 
-def _flag(day: int) -> str:
-    return f"r{day}"
-
-
 def window_flags(users: DataFrame, events: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Per user with at least one event in some window: one 0/1 per window."""
-    ev = events.select("user_id", "event_timestamp")
-    su = users.select("user_id", "signed_up_at")
-    j = join_dimension(ev, su, "user_id")
-    d = elapsed_micros("signed_up_at", "event_timestamp")
-    lo_all = min(lo for _, lo, _ in windows) * DAY_US
-    hi_all = max(hi for _, _, hi in windows) * DAY_US
-    inside = j.select("user_id", d.alias("d_us")).filter(
-        (F.col("d_us") >= lo_all) & (F.col("d_us") < hi_all))
-    return inside.groupBy("user_id").agg(*[
-        F.max(F.when((F.col("d_us") >= lo * DAY_US) & (F.col("d_us") < hi * DAY_US), 1)
-              .otherwise(0)).alias(_flag(day))
-        for day, lo, hi in windows])
+    """Per user with events: one 0/1 per window (the retention part of the
+    one-pass event rollup)."""
+    roll = event_rollup(users, events, windows=windows)
+    return roll.select("user_id", *[retained_col(day) for day, _, _ in windows])
 
 
 def retention_flags(users: DataFrame, events: DataFrame, subs: DataFrame,
-                    windows=WINDOWS, as_of=None) -> DataFrame:
+                    windows=WINDOWS, as_of=None, rollup: DataFrame | None = None) -> DataFrame:
     """Seven columns per (user, window); with ``as_of`` an ``eligible`` flag
-    tells whether the window had closed by then (signup + hi <= as_of)."""
-    flags = window_flags(users, events, windows)
+    tells whether the window had closed by then (signup + hi <= as_of).
+    ``rollup`` may be a built ``event_rollup`` table."""
+    flags = (rollup.select("user_id", *[retained_col(day) for day, _, _ in windows])
+             if rollup is not None else window_flags(users, events, windows))
     plan = current_plan(subs).select("user_id", "current_plan")
     base = (users.select("user_id", "signed_up_at", "region", "signup_source")
             .join(flags, "user_id", "left").join(plan, "user_id", "left"))
     cells = []
     for day, _, hi in windows:
         fields = [F.lit(day).cast("int").alias("retention_day"),
-                  F.coalesce(F.col(_flag(day)), F.lit(0)).cast("int").alias("is_retained")]
+                  F.coalesce(F.col(retained_col(day)), F.lit(0)).cast("int")
+                  .alias("is_retained")]
         if as_of is not None:
             limit = F.lit(str(as_of)).cast("date").cast("timestamp_ntz")
             fields.append((add_days("signed_up_at", hi) <= limit).alias("eligible"))

@@ -3,7 +3,9 @@
 ``build_models`` is the full-refresh run of the model graph: marts are
 written (Parquet, one commit per table) under a folder of the shared file
 system and read back, so every later model and report starts from files
-rather than from lineage.  The event fact is loaded incrementally when its
+rather than from lineage.  Events are read twice in all: once for the
+per-user activity table (funnel milestones, activation counts, retention
+flags) and once for the event fact.  The event fact is loaded incrementally when its
 table already exists.  ``dashboard`` returns every report over the built
 tables.
 """
@@ -19,7 +21,7 @@ from tidemark.operators import incremental as I
 from tidemark.operators import marts as M
 from tidemark.operators import retention as RT
 from tidemark.operators import revenue as RV
-from tidemark.operators.engagement import ActivationSpec, FunnelSpec
+from tidemark.operators.engagement import ActivationSpec, FunnelSpec, event_rollup
 from tidemark.plans import reports as R
 from tidemark.sources.literals import dim_features, dim_plans
 from tidemark.sources.sinks import sink_table
@@ -43,9 +45,13 @@ def build_models(spark: SparkSession, tables: Tables, out_dir: str,
     out = out_dir.rstrip("/")
     users, events, subs = tables.users, tables.user_events, tables.subscriptions
     built: dict[str, DataFrame] = {}
+    # every per-user figure events give, in one pass over events; the user
+    # models below read this table instead of scanning events again
+    built["user_activity"] = sink_table(
+        event_rollup(users, events, params.funnel, params.activation), f"{out}/user_activity")
     built["dim_users"] = sink_table(
-        M.dim_users(users, events, subs, params.funnel, params.activation),
-        f"{out}/dim_users")
+        M.dim_users(users, events, subs, params.funnel, params.activation,
+                    rollup=built["user_activity"]), f"{out}/dim_users")
     # the snapshot is a projection of the written dim_users: no second pass
     built["funnel_snapshot"] = sink_table(M.snapshot_from(built["dim_users"]),
                                           f"{out}/funnel_snapshot")
@@ -53,8 +59,9 @@ def build_models(spark: SparkSession, tables: Tables, out_dir: str,
                                              params.incremental_mode)
     built["fct_subscriptions"] = sink_table(M.fct_subscriptions(users, subs),
                                             f"{out}/fct_subscriptions")
-    built["retention_flags"] = sink_table(RT.retention_flags(users, events, subs),
-                                          f"{out}/retention_flags")
+    built["retention_flags"] = sink_table(
+        RT.retention_flags(users, events, subs, rollup=built["user_activity"]),
+        f"{out}/retention_flags")
     built["mrr_waterfall"] = sink_table(
         RV.mrr_waterfall(subs, params.first_month, params.last_month), f"{out}/mrr_waterfall")
     if params.date_start and params.date_end:

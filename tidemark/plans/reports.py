@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rates import pct1, round_cents_avg
 from tidemark.functions.timeops import ntz_lit
-from tidemark.operators.retention import WINDOWS
+from tidemark.operators.specs import WINDOWS
 
 # The dashboard's region list and its fallback source.
 KNOWN_REGIONS = ("US", "UK", "AU")
