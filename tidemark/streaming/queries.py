@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.timeops import add_days, trunc_date
+from tidemark.functions.timeops import add_days
 from tidemark.operators.engagement import FunnelSpec
 from tidemark.operators.incremental import load_events
+from tidemark.operators.joins import join_dimension
 from tidemark.streaming.sinks import read_upserted, upsert_by_key
 
 LTZ = T.TimestampType()
@@ -73,7 +74,9 @@ def funnel_snapshot_stream(events: DataFrame, users: DataFrame, target: str, che
     """Accumulating snapshot kept current as events arrive: the state is one
     row per user (it grows with users, not events)."""
     su = users.select("user_id", "signed_up_at")
-    j = events.join(su, "user_id")
+    # stream-static join: adaptive execution does not run inside micro-batches,
+    # so the static side is broadcast here after its size check
+    j = join_dimension(events, su, "user_id")
     ts, s, t = F.col("event_timestamp"), F.col("signed_up_at"), F.col("event_type")
     in_w2 = (ts >= add_days(s, spec.week2_from_days)) & (ts < add_days(s, spec.week2_to_days))
     agg = j.groupBy("user_id").agg(
@@ -109,5 +112,3 @@ def read_result(spark: SparkSession, target: str, keyed: bool = True) -> DataFra
     return read_upserted(spark, target) if keyed else spark.read.parquet(target)
 
 
-__all__ = ["read_stream", "event_fact_stream", "funnel_snapshot_stream",
-           "weekly_signups_stream", "read_result", "trunc_date"]
