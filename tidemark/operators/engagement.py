@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import DAY_US, add_days, elapsed_micros
 from tidemark.operators.joins import join_dimension
+from tidemark.operators.revenue import subscription_rollup
 
 
 from tidemark.operators.specs import STAGES, WINDOWS, ActivationSpec, FunnelSpec  # noqa: F401
@@ -73,11 +74,6 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
         *[F.max(f"f{day}").alias(retained_col(day)) for day, _, _ in windows])
 
 
-def first_paid(subs: DataFrame, funnel: FunnelSpec = FunnelSpec()) -> DataFrame:
-    return (subs.filter(F.col("plan").isin(*funnel.paid_plans))
-            .groupBy("user_id").agg(F.min("started_at").alias("upgraded_to_paid_at")))
-
-
 def _tier(col: Column, tiers) -> Column:
     expr = None
     for threshold, points in tiers:
@@ -113,17 +109,18 @@ def user_journey(users: DataFrame, events: DataFrame, subs: DataFrame,
                  funnel: FunnelSpec = FunnelSpec(),
                  activation: ActivationSpec = ActivationSpec(),
                  keep: tuple = (), rollup: DataFrame | None = None) -> DataFrame:
-    """Every user: funnel milestones, stage, week-1 counts, score, flag.
+    """Every user: funnel milestones, stage, week-1 counts, score, flag, and
+    the current plan (NULL without subscriptions).
 
     ``keep`` carries further user columns through, so marts need no second
     join back to users.  ``rollup`` may be a built ``event_rollup`` table."""
     roll = rollup if rollup is not None else event_rollup(users, events, funnel, activation)
     base = users.select("user_id", "signed_up_at", *keep)
     j = (base.join(roll, "user_id", "left")
-         .join(first_paid(subs, funnel), "user_id", "left"))
+         .join(subscription_rollup(subs, funnel.paid_plans), "user_id", "left"))
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in WEEK1_COUNTS]
     out = j.select("user_id", "signed_up_at", *keep, *MILESTONES, "upgraded_to_paid_at",
-                   *counts)
+                   *counts, "current_plan", "current_mrr")
     return out.select(
         "*", stage_expr().alias("max_funnel_stage"),
         score_expr(activation).alias("activation_score"),

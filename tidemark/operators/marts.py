@@ -10,7 +10,6 @@ from tidemark.operators.engagement import (
     MILESTONES, ActivationSpec, FunnelSpec, lifecycle_label, user_journey,
 )
 from tidemark.operators.joins import join_dimension
-from tidemark.operators.revenue import current_plan
 from tidemark.operators.staging import stg_subscriptions, stg_user_events, stg_users
 
 # The reference's calendar range.
@@ -41,9 +40,8 @@ def dim_users(users: DataFrame, events: DataFrame, subs: DataFrame,
               rollup: DataFrame | None = None) -> DataFrame:
     """User dimension: attributes, current plan, milestones, activation.
     ``rollup`` may be a built ``event_rollup`` table (then events is unused)."""
-    journey = user_journey(stg_users(users), events, subs, funnel, activation,
-                           keep=_USER_ATTRS, rollup=rollup)
-    j = journey.join(current_plan(subs), "user_id", "left")
+    j = user_journey(stg_users(users), events, subs, funnel, activation,
+                     keep=_USER_ATTRS, rollup=rollup)
     return j.select(
         *DIM_USERS_COLUMNS[:9],
         F.coalesce("current_plan", F.lit("free")).alias("current_plan"),

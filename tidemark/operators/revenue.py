@@ -29,12 +29,21 @@ def _latest_key():
                     F.col("subscription_id").alias("subscription_id"))
 
 
+def subscription_rollup(subs: DataFrame, paid_plans=("pro", "enterprise")) -> DataFrame:
+    """Per user, one aggregate over subscriptions: first start on a paid plan,
+    and plan and MRR of the latest row.  Readers select what they need."""
+    paid = F.when(F.col("plan").isin(*paid_plans), F.col("started_at"))
+    roll = subs.groupBy("user_id").agg(
+        F.min(paid).alias("upgraded_to_paid_at"),
+        F.max_by(F.struct("plan", "mrr"), _latest_key()).alias("cp"))
+    return roll.select("user_id", "upgraded_to_paid_at",
+                       F.col("cp.plan").alias("current_plan"),
+                       F.col("cp.mrr").alias("current_mrr"))
+
+
 def current_plan(subs: DataFrame) -> DataFrame:
     """Plan and MRR of each user's latest subscription row."""
-    latest = subs.groupBy("user_id").agg(
-        F.max_by(F.struct("plan", "mrr"), _latest_key()).alias("cp"))
-    return latest.select("user_id", F.col("cp.plan").alias("current_plan"),
-                         F.col("cp.mrr").alias("current_mrr"))
+    return subscription_rollup(subs).select("user_id", "current_plan", "current_mrr")
 
 
 def predecessor_mrr(subs: DataFrame) -> DataFrame:
