@@ -23,6 +23,13 @@ def test_build_then_dashboard(spark):
         g = [tuple(r) for r in got.collect()]
         w = [tuple(r) for r in want.collect()]
         assert digest(got.columns, g)[0] == digest(want.columns, w)[0], name
+    # the data tests over the built tables give the registered suite's result
+    from tidemark.plans import suite as SU
+    tables = B.driver_tables(spark, SF0001)
+    on_tables = {r.test_name: r.violations for r in
+                 SU.spark_suite(SU.built_frames(tables, models)).collect()}
+    registered = {r.test_name: r.violations for r in q["dq_suite"](spark, SF0001).collect()}
+    assert on_tables == registered
     # a second run loads the event fact incrementally (nothing new: unchanged)
     again = build_models(spark, B.driver_tables(spark, SF0001), out, params)
     assert again["fct_user_events"].count() == models["fct_user_events"].count()

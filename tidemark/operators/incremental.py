@@ -27,8 +27,15 @@ from tidemark.operators.marts import FCT_EVENT_COLUMNS, fct_user_events
 
 def high_water_mark(target: DataFrame):
     """max(event_timestamp) of the target, as a driver-side literal (one row),
-    so the filter on the source reaches the Parquet scan."""
-    return target.agg(F.max("event_timestamp").alias("m")).first()["m"]
+    so the filter on the source reaches the Parquet scan.
+
+    The newest ``event_date`` is found first (on the partitioned table only
+    the partition values are needed), then only that partition is read."""
+    last_day = target.agg(F.max("event_date").alias("d")).first()["d"]
+    if last_day is None:
+        return None
+    newest = target.filter(F.col("event_date") == F.lit(last_day))
+    return newest.agg(F.max("event_timestamp").alias("m")).first()["m"]
 
 
 def _dedupe_latest(batch: DataFrame) -> DataFrame:

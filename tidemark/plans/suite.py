@@ -148,6 +148,19 @@ def suite_sql() -> str:
     return sql(body, *SQL_NAMES.values(), "o_mrr")
 
 
+def built_frames(tables, models: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The suite's inputs from raw tables and ``plans.build.build_models``
+    output: every check on a model becomes a scan of its written table."""
+    frames = {"users": tables.users, "user_events": tables.user_events,
+              "subscriptions": tables.subscriptions, "feature_usage": tables.feature_usage,
+              "invoices": tables.invoices, "conversations": tables.conversations}
+    frames.update({k: models[k] for k in
+                   ("retention_flags", "dim_users", "dim_plans", "dim_features", "dim_date",
+                    "fct_user_events", "fct_subscriptions", "funnel_snapshot",
+                    "mrr_waterfall")})
+    return frames
+
+
 def driver_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from pyspark.sql import functions as F
 
