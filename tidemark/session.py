@@ -31,8 +31,6 @@ SQL_DEFAULTS = {
     # planner's file-size estimates (compressed bytes) are not trusted.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    # Incremental loads overwrite only the event_date partitions they touch.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Python call-site capture costs four JVM round trips per column function
     # while plans are built; error messages lose only the Python line.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -18,7 +18,8 @@ def sink_table(df: DataFrame, path: str, partition_by: tuple = (),
     """Full refresh: the job writes to the path in one commit (a failed job
     leaves no partial table behind), then the table is read back, so
     downstream work starts from the files, not the lineage."""
-    writer = df.write.mode("overwrite").format(fmt)
+    # a full refresh replaces every partition (never only the ones written)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
