@@ -46,13 +46,31 @@ def current_plan(subs: DataFrame) -> DataFrame:
     return subscription_rollup(subs).select("user_id", "current_plan", "current_mrr")
 
 
-def predecessor_mrr(subs: DataFrame) -> DataFrame:
+def predecessor_mrr(subs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(user_id, ended_at) -> mrr of the row that ended then (one per key;
-    greatest (started_at, subscription_id) wins a tie)."""
-    return (subs.filter(F.col("ended_at").isNotNull())
-            .groupBy("user_id", F.col("ended_at").alias("pred_end"))
-            .agg(F.max_by("mrr", F.struct("started_at", "subscription_id")).alias("pred_mrr"))
-            .withColumnRenamed("user_id", "pred_user"))
+    greatest (started_at, subscription_id) wins a tie).  With ``wanted``
+    (columns user_id, started_at) only those keys are reduced: the semi-join
+    runs on the exchange the aggregate needs anyway, and the sort-based
+    aggregate sees only the rows that are looked up."""
+    ended = subs.filter(F.col("ended_at").isNotNull())
+    if wanted is not None:
+        keys = wanted.select(F.col("user_id").alias("w_user"),
+                             F.col("started_at").alias("w_start"))
+        ended = ended.join(keys, (ended.user_id == keys.w_user)
+                           & (ended.ended_at == keys.w_start), "left_semi")
+    ended = ended.select("user_id", F.col("ended_at").alias("pred_end"), "started_at",
+                         "subscription_id", "mrr")
+    # nearly every key has one row: a hash aggregate answers those; only keys
+    # with several rows go through the ordered (sort-based) tie-break
+    counted = ended.groupBy("user_id", "pred_end").agg(F.count(F.lit(1)).alias("n"),
+                                                       F.max("mrr").alias("pred_mrr"))
+    single = counted.filter(F.col("n") == 1).select("user_id", "pred_end", "pred_mrr")
+    tied = counted.filter(F.col("n") > 1).select("user_id", "pred_end")
+    resolved = (ended.join(tied, ["user_id", "pred_end"], "left_semi")
+                .groupBy("user_id", "pred_end")
+                .agg(F.max_by("mrr", F.struct("started_at", "subscription_id"))
+                     .alias("pred_mrr")))
+    return single.unionByName(resolved).withColumnRenamed("user_id", "pred_user")
 
 
 def _spine_join(spark: SparkSession, monthly: DataFrame, first_month, last_month) -> DataFrame:
@@ -86,7 +104,8 @@ def mrr_waterfall(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
     changes = subs.filter((ct != "new") | (plan != "free")).select(
         "user_id", "plan", "change_type", "mrr", "started_at",
         trunc_date("month", "started_at").alias("report_month"))
-    pred = predecessor_mrr(subs)
+    # only churn rows look up a predecessor
+    pred = predecessor_mrr(subs, wanted=changes.filter(F.col("change_type") == "churn"))
     cond = ((changes.user_id == pred.pred_user) & (changes.started_at == pred.pred_end)
             & (changes.change_type == "churn"))
     j = changes.join(pred, cond, "left")

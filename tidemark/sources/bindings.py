@@ -9,10 +9,13 @@ with them.  Ids keep the driver's integer type.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import add_days, add_seconds
+from tidemark.session import scratch_path
 from tidemark.operators.neighbors import with_neighbors
 from tidemark.sources.tables import Tables
 
@@ -98,7 +101,27 @@ def _shifted(col: str):
     return add_days(F.col(col), ORDER_DATE_SHIFT_DAYS)
 
 
+_MATERIALIZED: dict[tuple, tuple] = {}
+_LOCK = threading.Lock()
+
+
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subscriptions input, as the table a billing export would be: derived
+    from orders once per session (``derive_subscriptions``), written to the
+    shared checkpoint folder, and read from there by every query."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    with _LOCK:
+        hit = _MATERIALIZED.get(key)
+        if hit is None:
+            path = scratch_path(spark, "binding_subscriptions")
+            derived = derive_subscriptions(spark, sf_dir)
+            derived.write.parquet(path)
+            hit = _MATERIALIZED[key] = (path, derived.schema)
+    path, schema = hit
+    return spark.read.schema(schema).parquet(path)
+
+
+def derive_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One subscription row per order.  ended_at and change_type come from the
     neighbouring rows of the same user (a fixture adapter; real billing
     exports carry both columns), found without gathering a user's rows in
