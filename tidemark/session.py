@@ -31,6 +31,10 @@ SQL_DEFAULTS = {
     # planner's file-size estimates (compressed bytes) are not trusted.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
+
+# Static settings: only a session we build can take them.
+STATIC_DEFAULTS = {
     # Python call-site capture costs four JVM round trips per column function
     # while plans are built; error messages lose only the Python line.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -43,7 +47,10 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     for key, value in SQL_DEFAULTS.items():
         if spark.conf.get(key, None) is None:      # not set explicitly
-            spark.conf.set(key, value)
+            try:
+                spark.conf.set(key, value)
+            except Exception:  # noqa: BLE001  (a setting the session does not allow)
+                pass
     return spark
 
 
@@ -60,6 +67,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
         **SQL_DEFAULTS,
+        **STATIC_DEFAULTS,
         **SQL_REQUIRED,
         **(extra or {}),
     }
