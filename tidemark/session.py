@@ -78,16 +78,23 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return apply_defaults(spark)
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local runs, tests) do we pick one of our own."""
+    Only when it is unset (local runs, tests) do we pick one of our own, a
+    local temporary folder -- never the case on a cluster, which names a
+    shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN_ROOTS.get(app)
+        if root is None:
+            root = _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
