@@ -103,3 +103,10 @@ def test_retention_boolean_null_passes(spark):
     flags = spark.createDataFrame([("a", 1, 1), ("a", 7, None), ("a", 14, 2)],
                                   "user_id string, retention_day int, is_retained int")
     assert [r.is_retained for r in Q.retention_boolean(flags).collect()] == [2]
+
+
+def test_relationships_count(spark):
+    child = spark.createDataFrame([("1",), ("2",), ("2",), (None,), ("3",)], "k string")
+    parent = spark.createDataFrame([("1",)], "k string")
+    assert Q.relationships_count(child, "k", parent, "k").first().violations == 3
+    assert Q.relationships_count(child.filter("k = '1'"), "k", parent, "k").first().violations == 0

@@ -18,7 +18,8 @@ def events_before_churn(events: DataFrame, subs: DataFrame) -> DataFrame:
     at exactly that time stay; users who never churned keep everything)."""
     churn = (subs.filter(F.col("change_type") == "churn").groupBy("user_id")
              .agg(F.min("started_at").alias("churn_date")))
-    j = events.join(churn, "user_id", "left")
+    # one row per churned user: broadcast when its size is proven small
+    j = join_dimension(events, churn, "user_id", "left")
     keep = F.col("churn_date").isNull() | (F.col("event_timestamp") <= F.col("churn_date"))
     return j.filter(keep).select(*EVENT_COLUMNS)
 

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_dimension
+
 
 def not_null(df: DataFrame, *cols: str) -> DataFrame:
     cond = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
@@ -42,6 +44,18 @@ def relationships(child: DataFrame, col: str, parent: DataFrame, parent_col: str
     return kid.join(keys, kid[col] == keys["__parent_key"], "left_anti")
 
 
+def relationships_count(child: DataFrame, col: str, parent: DataFrame,
+                        parent_col: str) -> DataFrame:
+    """Number of orphan child rows, one row: the child is reduced per key
+    first (partial aggregation absorbs a hot key), then the distinct keys are
+    anti-joined with the parent's."""
+    per_key = (child.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__k"))
+               .agg(F.count(F.lit(1)).alias("__n")))
+    keys = parent.select(F.col(parent_col).alias("__parent_key")).distinct()
+    orphans = per_key.join(keys, per_key["__k"] == keys["__parent_key"], "left_anti")
+    return orphans.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("violations"))
+
+
 def milestones_after_signup(snapshot: DataFrame) -> DataFrame:
     """Users with a milestone stamped before their signup."""
     s = F.col("signed_up_at")
@@ -78,7 +92,7 @@ def mrr_against_active(waterfall: DataFrame, subs: DataFrame, tolerance: float =
 def events_before_signup(fct_events: DataFrame, dim_users: DataFrame) -> DataFrame:
     u = dim_users.select("user_id", "signed_up_at")
     e = fct_events.select("event_id", "user_id", "event_timestamp")
-    return (e.join(u, "user_id")
+    return (join_dimension(e, u, "user_id")
             .filter(F.col("event_timestamp") < F.col("signed_up_at"))
             .select("event_id", "user_id", "event_timestamp", "signed_up_at"))
 
@@ -124,6 +138,10 @@ def count_checks(checks: list[Check], frames: dict[str, DataFrame]) -> list[Data
     for c in checks:
         if c.kind == "not_null":
             by_table.setdefault(c.table, []).append(c)
+        elif c.kind == "relationships":
+            out.append(relationships_count(frames[c.table], c.column, frames[c.parent],
+                                           c.parent_column)
+                       .select(F.lit(c.name).alias("test_name"), "violations"))
         else:
             out.append(check_frame(c, frames).agg(F.count(F.lit(1)).alias("violations"))
                        .select(F.lit(c.name).alias("test_name"), "violations"))
