@@ -36,10 +36,15 @@ def retained_col(day: int) -> str:
 
 def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = FunnelSpec(),
                  activation: ActivationSpec = ActivationSpec(),
-                 windows=WINDOWS) -> DataFrame:
+                 windows=WINDOWS, with_days: bool = True) -> DataFrame:
     """Per user with events: 3 milestone timestamps, 5 week-1 counts and one
     0/1 retention flag per window -- everything per user that events give,
-    in one pass.  Readers select what they need; Catalyst drops the rest."""
+    in one pass.  Readers select what they need; Catalyst drops the rest.
+
+    ``with_days=False`` skips the (user, day) level, which only the count of
+    distinct active days needs: one aggregate per user (its partial
+    aggregation still reduces a hot user in every task); active_days_week1 is
+    then absent."""
     ev = events.select("user_id", "event_type", "event_timestamp")
     su = users.select("user_id", "signed_up_at")
     j = join_dimension(ev, su, "user_id")
@@ -50,6 +55,17 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
     d_us = elapsed_micros(s, ts)
     flags = [F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
              .alias(f"f{day}") for day, lo, hi in windows]
+    if not with_days:
+        return j.groupBy("user_id").agg(
+            F.min(F.when(t == funnel.board_event, ts)).alias("created_first_board_at"),
+            F.min(F.when(t == funnel.invite_event, ts)).alias("invited_first_member_at"),
+            F.min(F.when(in_w2, ts)).alias("active_in_week_2_at"),
+            F.count_if(in_w1 & (t == activation.board_event)).alias("boards_created_week1"),
+            F.count_if(in_w1 & (t == activation.invite_event)).alias("members_invited_week1"),
+            F.count_if(in_w1 & (t == activation.task_event)).alias("tasks_created_week1"),
+            F.count_if(in_w1 & t.isNotNull()).alias("total_events_week1"),
+            *[F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
+              .alias(retained_col(day)) for day, lo, hi in windows])
     daily = j.groupBy("user_id", F.to_date(ts).alias("event_date")).agg(
         *flags,
         F.min(F.when(t == funnel.board_event, ts)).alias("b_at"),
@@ -132,8 +148,11 @@ def funnel_stages(users: DataFrame, events: DataFrame, subs: DataFrame,
                   spec: FunnelSpec = FunnelSpec()) -> DataFrame:
     """One row per user: signup, 4 milestone timestamps, highest stage reached
     (each milestone is tested on its own; no ordering between them)."""
-    return user_journey(users, events, subs, spec).select(
-        "user_id", "signed_up_at", *MILESTONES, "upgraded_to_paid_at", "max_funnel_stage")
+    roll = event_rollup(users, events, spec, with_days=False)
+    j = (users.select("user_id", "signed_up_at").join(roll, "user_id", "left")
+         .join(subscription_rollup(subs, spec.paid_plans), "user_id", "left"))
+    return j.select("user_id", "signed_up_at", *MILESTONES, "upgraded_to_paid_at",
+                    stage_expr().alias("max_funnel_stage"))
 
 
 def activation_score(users: DataFrame, events: DataFrame,

@@ -24,7 +24,7 @@ FLAG_COLUMNS = ("user_id", "cohort_week", "region", "signup_source", "plan_at_la
 def window_flags(users: DataFrame, events: DataFrame, windows=WINDOWS) -> DataFrame:
     """Per user with events: one 0/1 per window (the retention part of the
     one-pass event rollup)."""
-    roll = event_rollup(users, events, windows=windows)
+    roll = event_rollup(users, events, windows=windows, with_days=False)
     return roll.select("user_id", *[retained_col(day) for day, _, _ in windows])
 
 
