@@ -1,8 +1,9 @@
-"""Funnel milestones and the activation score, from one pass over events.
+"""Funnel milestones, the activation score and retention flags, from one pass
+over events.
 
-Both read the same events joined to each user's signup time.  Instead of
-one scan and aggregate per milestone, a single conditional aggregate builds
-every per-user figure:
+All read the same events joined to each user's signup time.  Instead of one
+scan and aggregate per milestone, a single conditional aggregate builds every
+per-user figure:
 
   events(user_id, type, ts) JOIN users(user_id, signed_up_at)   size-checked broadcast
     -> group by (user_id, event_date)   partial aggregate; a hot user is
@@ -10,7 +11,8 @@ every per-user figure:
     -> group by user_id                 <= one row per active day per user
 
 The second level also yields the count of distinct active days without a
-distinct aggregate.  Users without events are kept by a left join from users.
+distinct aggregate; readers that do not need it use one per-user aggregate.
+Users without events are kept by a left join from users.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeops import DAY_US, add_days, elapsed_micros
 from tidemark.operators.joins import join_dimension
 from tidemark.operators.revenue import subscription_rollup
-
-
 from tidemark.operators.specs import STAGES, WINDOWS, ActivationSpec, FunnelSpec  # noqa: F401
 
 MILESTONES = ("created_first_board_at", "invited_first_member_at", "active_in_week_2_at")
