@@ -1,10 +1,13 @@
-"""The queries of this folder and the pipeline, with their DuckDB SQL."""
+"""The queries of this folder, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-from tidemark.llm import queries_filter, queries_models, queries_tokens
+from tidemark.llm import (
+    queries_chat, queries_filter, queries_models, queries_prints, queries_secrets, queries_tokens,
+)
 
-MODULES = (queries_models, queries_filter, queries_tokens)
+MODULES = (queries_chat, queries_models, queries_filter, queries_secrets, queries_tokens,
+           queries_prints)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

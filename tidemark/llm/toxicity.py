@@ -273,6 +273,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model,
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int = 1500,
-          max_chars: int = 10_000) -> Model:
+          max_chars: int = 6_000) -> Model:
     """Fit on a bounded sample of the rows of ``labels`` where ``learn`` holds."""
     return fit(labelled_sample(docs, labels, "toxic", learn, rows_per_class, max_chars))
