@@ -3,7 +3,8 @@
 The tree's states are contexts of 0 to ``DEPTH`` characters (A-Z lower-cased;
 text boundaries are a symbol).  A context stays if its next-symbol
 distribution diverges enough from that of the context one character shorter:
-n * KL >= ``min_gain`` nats, n its number of occurrences; of these the
+n * KL >= ``min_gain`` nats, n its number of occurrences, which is ``min_count``
+or more; of these the
 ``max_states`` with the highest gain and all their shorter contexts.  A
 state's distribution is smoothed with its parent's (Witten-Bell: as much
 weight as the state has seen different symbols), down to the uniform one.  A
@@ -31,6 +32,7 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,8 +117,10 @@ def _gram_counter(table: np.ndarray):
     return count
 
 
-def retained_states(grams: DataFrame, min_gain: float, max_states: int) -> DataFrame:
-    """``depth, context, next, n`` of the contexts that the divergence test keeps.
+def retained_states(spark: SparkSession, grams: DataFrame, min_gain: float, min_count: int,
+                    max_states: int) -> DataFrame:
+    """``depth, context, nexts`` (map of next symbol to count) of the contexts
+    that the divergence test keeps.
 
     The low bits of a gram hold the predicted symbol, the next ones the symbol
     before it, and so on, so shorter contexts are masks of longer ones.
@@ -124,49 +128,60 @@ def retained_states(grams: DataFrame, min_gain: float, max_states: int) -> DataF
     depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
     mask = lambda symbols: F.call_function(
         "shiftleft", F.lit(1).cast("long"), symbols * BITS) - 1
-    level = (grams.select("gram", "n", depths.alias("depth"))
-             .select("depth", F.col("gram").bitwiseAND(mask(F.col("depth") + 1)).alias("key"), "n")
-             .groupBy("depth", "key").agg(F.sum("n").alias("n"))
-             .withColumn("context", F.shiftright("key", BITS)))
-    total = level.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    counted = level.join(total, ["depth", "context"])
-    parent = counted.select((F.col("depth") + 1).alias("depth"), F.col("key").alias("short"),
-                            F.col("n").alias("pn"), F.col("total").alias("ptotal"))
-    gain = F.sum(F.col("n") * F.log(F.col("n") * F.col("ptotal") / (F.col("total") * F.col("pn"))))
-    kept = (counted.where(F.col("depth") > 0)
-            .withColumn("short", F.col("key").bitwiseAND(mask(F.col("depth"))))
+    symbol = F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int")
+    contexts = materialize(
+        spark, grams.select("gram", "n", depths.alias("depth"))
+        .select("depth", F.col("gram").bitwiseAND(mask(F.col("depth") + 1)).alias("key"), "n")
+        .groupBy("depth", "key").agg(F.sum("n").alias("n"))
+        .groupBy("depth", F.shiftright("key", BITS).alias("context"))
+        .agg(F.sum("n").alias("total"),
+             F.map_from_entries(F.collect_list(F.struct(symbol, "n"))).alias("nexts"))
+        .where((F.col("total") >= min_count) | (F.col("depth") == 0)), "contexts")
+    parent = contexts.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("short"),
+                             F.col("total").alias("ptotal"), F.col("nexts").alias("pnexts"))
+    # log likelihood won over the parent: n * KL
+    gain = F.aggregate(
+        F.map_entries("nexts"), F.lit(0.0),
+        lambda acc, e: acc + e["value"] * F.log(
+            e["value"] * F.col("ptotal") / (F.col("total") * F.element_at("pnexts", e["key"]))))
+    kept = (contexts.where(F.col("depth") > 0)
+            .withColumn("short", F.col("context").bitwiseAND(mask(F.col("depth") - 1)))
             .join(parent, ["depth", "short"])
-            .groupBy("depth", "context").agg(gain.alias("gain"))
+            .select("depth", "context", gain.alias("gain"))
             .where(F.col("gain") >= min_gain)
             .orderBy(F.desc("gain"), "depth", "context").limit(max_states))
     shorter = kept.select(F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"), "context")
     closed = shorter.select(
         "depth", F.col("context").bitwiseAND(mask(F.col("depth"))).alias("context")).distinct()
-    root = grams.limit(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("context"))
-    closed = closed.unionByName(root).distinct()
-    return (level.join(closed, ["depth", "context"])
-            .select("depth", "context", F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)).alias("next"),
-                    "n"))
+    return contexts.join(closed, ["depth", "context"], "left_semi").select(
+        "depth", "context", "nexts").unionByName(
+        contexts.where(F.col("depth") == 0).join(closed, ["depth", "context"], "left_anti")
+        .select("depth", "context", "nexts"))
 
 
 class Tree:
     """Retained states as tables: the state one character deeper, and log10
     probabilities of the next symbol."""
 
-    def __init__(self, table: np.ndarray, states: pd.DataFrame):
+    def __init__(self, table: np.ndarray, states: pa.Table):
         self.table = table
-        names = states[["depth", "context"]].drop_duplicates().sort_values(["depth", "context"])
-        index = {(int(d), int(c)): i for i, (d, c) in enumerate(names.itertuples(index=False))}
+        depth, context = (states.column(c).to_numpy().astype(np.int64)
+                          for c in ("depth", "context"))
+        order = np.lexsort((context, depth))
+        index = {key: i for i, key in enumerate(zip(depth[order].tolist(),
+                                                    context[order].tolist()))}
         index = index or {(0, 0): 0}
         size = len(index)
-        row = np.array([index[int(d), int(c)] for d, c in zip(states["depth"], states["context"])],
-                       dtype=np.int64)
-        counts = np.zeros((size, SYMBOLS))
-        counts[row, states["next"].to_numpy(dtype=np.int64)] = states["n"].to_numpy()
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        nexts = states.column("nexts").combine_chunks()
+        row = np.repeat(place, np.diff(nexts.offsets.to_numpy()))
+        counts = np.zeros((size, SYMBOLS), dtype=np.float32)
+        counts[row, nexts.keys.to_numpy()] = nexts.items.to_numpy()
         seen = (counts > 0).sum(axis=1)
         self.nowhere = size
         self.child = np.full((size + 1, SYMBOLS), size, dtype=np.int32)
-        p = np.zeros((size, SYMBOLS))
+        p = counts                                         # turned into probabilities in place
         for (depth, context), i in index.items():          # shorter contexts first
             if depth == 0:
                 before = np.full(SYMBOLS, 1 / SYMBOLS)
@@ -176,8 +191,8 @@ class Tree:
                 self.child[up, context >> above] = i
                 before = p[up]
             weight = max(seen[i], 1)
-            p[i] = (counts[i] + weight * before) / (counts[i].sum() + weight)
-        self.log = np.log10(p).astype(np.float32)
+            p[i] = (counts[i] + weight * before) / (counts[i].sum(dtype=np.float64) + weight)
+        self.log = np.log10(p)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """log10 probability of each text."""
@@ -233,7 +248,7 @@ def _scorer(tree: Tree, heavy: dict[bytes, int]):
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
-                    min_gain: float = 4.0, max_states: int = 80_000,
+                    min_gain: float = 4.0, min_count: int = 4, max_states: int = 80_000,
                     heavy: int = 1 << 16) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of ``docs``.
 
@@ -241,8 +256,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     model of the same texts.
     """
     python_tasks(spark)
+    learn, docs = learn.select("text"), docs.select("doc_id", "text")
     counts = materialize(
-        spark, learn.select("text").mapInPandas(_count_words, "char int, word binary, n long")
+        spark, learn.mapInPandas(_count_words, "char int, word binary, n long")
         .groupBy("char", "word").agg(F.sum("n").alias("n")), "words")
     words = counts.where(F.col("char") < 0).select("word", "n")
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
@@ -254,14 +270,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     table[65:91] = table[97:123]
 
     grams = materialize(
-        spark, learn.select("text").mapInPandas(_gram_counter(table), "gram long, n long")
+        spark, learn.mapInPandas(_gram_counter(table), "gram long, n long")
         .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    states = retained_states(grams, min_gain, max_states)       # bounded by max_states
-    tree = Tree(table, states.toPandas())
+    states = retained_states(spark, grams, min_gain, min_count, max_states)
+    tree = Tree(table, states.toArrow())                        # bounded by max_states
     top = (words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(heavy)
            .collect())                                          # bounded by heavy
     scored = materialize(
-        spark, docs.select("doc_id", "text").mapInPandas(
+        spark, docs.mapInPandas(
             _scorer(tree, {bytes(r[0]): r[1] for r in top}),
             "row long, doc_id long, n_tokens long, known long, base double, score double, "
             "rare array<binary>, times array<int>"), "scored")
