@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def python_tasks(spark: SparkSession, batch_rows: int = 1000) -> None:
+def python_tasks(spark: SparkSession, batch_rows: int = 250) -> None:
     """Prepare a session for operators whose tasks run Python: executors get
     this package, and Arrow batches hold at most ``batch_rows`` rows (documents
     can be long, and a task holds one batch of texts at a time)."""

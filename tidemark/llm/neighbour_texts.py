@@ -23,7 +23,7 @@ def with_next_text(spark: SparkSession, docs: DataFrame, work, schema: str,
                    ranges: int | None = None) -> DataFrame:
     """Apply ``work(frame)`` to runs of rows; ``frame`` has ``doc_id, text`` (null
     texts: empty) and ``next``, the text of the row that follows."""
-    python_tasks(spark, 500)
+    python_tasks(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -201,7 +201,7 @@ def _ddl(df: DataFrame, extra: str) -> str:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary,
-                 cache_words: int = 400_000) -> DataFrame:
+                 cache_words: int = 100_000) -> DataFrame:
     """``docs`` (with a ``text``, without an ``ids`` column) plus ``ids array<int>``."""
     python_tasks(spark)
     return docs.mapInArrow(_encoder(vocabulary, cache_words), _ddl(docs, "ids array<int>"))

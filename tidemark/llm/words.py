@@ -29,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
     have = _tables.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 19), base, dtype=np.uint64)
         steps[0] = 1
         have = _tables[name] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]
@@ -79,7 +79,7 @@ class Words:
         return which, mix(h ^ U64(n))
 
 
-def chunks(texts: list[str], max_chars: int = 1_500_000):
+def chunks(texts: list[str], max_chars: int = 400_000):
     """Runs (lo, hi) of texts with at most max_chars characters (or one text)."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
