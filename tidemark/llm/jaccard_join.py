@@ -120,7 +120,7 @@ def _survivors(sig: np.ndarray, key: int, block: np.ndarray, same: bool,
     """Pairs of a bucket that it owns and that pruning leaves."""
     keys = _band_keys(sig)
     a, b = _pairs(block, same)
-    own_a, own_b = [], []
+    own_a, own_b = [a[:0]], [b[:0]]
     most = np.iinfo(np.int64).max
     for lo in range(0, len(a), 200_000):
         i, j = a[lo:lo + 200_000], b[lo:lo + 200_000]
