@@ -65,7 +65,9 @@ def main(argv=None) -> int:
         for name, df in reports.items():
             if args.name in (None, name):
                 print(f"== {name}")
-                df.show(50, truncate=False)
+                print("\t".join(df.columns))
+                for r in df.toLocalIterator():          # every row, one partition at a time
+                    print("\t".join("" if v is None else str(v) for v in r))
     return 0
 
 

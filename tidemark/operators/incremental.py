@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import ntz_lit
+from tidemark.sources.sinks import table_exists
 from tidemark.operators.marts import FCT_EVENT_COLUMNS, fct_user_events
 
 
@@ -63,16 +64,23 @@ def select_batch(events: DataFrame, hwm, mode: str = "strict",
             since = hwm - _dt.timedelta(days=lookback_days)
             picked = events.filter(ts > ntz_lit(since))
         return _dedupe_latest(picked)
+    if mode == "keyed":                        # every row counts, whatever its time
+        return _dedupe_latest(events)
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def first_batch(events: DataFrame, mode: str) -> DataFrame:
+    """What the first load takes: everything, one row per id unless ``strict``."""
+    return events if mode == "strict" else _dedupe_latest(events)
+
+
 def merge_events(target: DataFrame | None, users: DataFrame, events: DataFrame,
                  mode: str = "strict", lookback_days: int = 3) -> DataFrame:
     """The new target: target rows minus replaced event_ids, plus the batch
     (enriched with the user's region and signup source as of now)."""
     if target is None:                         # first run / full refresh
-        return fct_user_events(users, events)
-    hwm = high_water_mark(target)
+        return fct_user_events(users, first_batch(events, mode))
+    hwm = None if mode == "keyed" else high_water_mark(target)
     batch_events = select_batch(events, hwm, mode, lookback_days)
     batch = fct_user_events(users, batch_events)
     kept = target.select(*FCT_EVENT_COLUMNS).join(
@@ -80,14 +88,6 @@ def merge_events(target: DataFrame | None, users: DataFrame, events: DataFrame,
     return kept.unionByName(batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001  (AnalysisException: path does not exist)
-        return False
-
-
 def load_events(spark: SparkSession, path: str, users: DataFrame, events: DataFrame,
                 mode: str = "strict", lookback_days: int = 3) -> DataFrame:
     """Apply one incremental run to the Parquet table at ``path``.
@@ -97,12 +97,12 @@ def load_events(spark: SparkSession, path: str, users: DataFrame, events: DataFr
     checkpoint folder first (Spark cannot overwrite files it is reading, and
     the checkpoint also cuts the lineage so a lost executor recomputes from
     it, not from the old files)."""
-    if not _exists(spark, path):
-        full = fct_user_events(users, events)
+    if not table_exists(spark, path):
+        full = fct_user_events(users, first_batch(events, mode))
         full.write.mode("overwrite").partitionBy("event_date").parquet(path)
         return spark.read.parquet(path)
     target = spark.read.parquet(path)
-    hwm = high_water_mark(target)
+    hwm = None if mode == "keyed" else high_water_mark(target)
     batch = fct_user_events(users, select_batch(events, hwm, mode, lookback_days))
     batch = batch.checkpoint(eager=True)
     ids = batch.select("event_id").distinct()

@@ -12,9 +12,13 @@ from tidemark.streaming import queries as SQ
 
 
 def _source(spark, sf_dir, table):
-    schema = B.read_driver_table(spark, sf_dir, table).schema
-    return SQ.read_stream(spark, sf_dir, schema, glob=f"{table}.parquet",
-                          max_files_per_trigger=1)
+    """The table as a stream, be it one file or a folder of files."""
+    df = B.read_driver_table(spark, sf_dir, table)
+    if any(f.endswith(f"/{table}.parquet") for f in df.inputFiles()):
+        return SQ.read_stream(spark, sf_dir, df.schema, glob=f"{table}.parquet",
+                              max_files_per_trigger=1)
+    return SQ.read_stream(spark, f"{sf_dir}/{table}.parquet", df.schema,
+                          max_files_per_trigger=8)
 
 
 @register("stream_user_events", sql("SELECT * FROM o_fct_events", "o_fct_events"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import scratch_path
@@ -29,3 +30,16 @@ def sink_table(df: DataFrame, path: str, partition_by: tuple = (),
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A fresh location in the shared checkpoint folder."""
     return scratch_path(spark, name)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """False only if there is nothing at ``path``; any other error (storage,
+    damaged files) is raised, so that a table is never taken for missing and
+    overwritten."""
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

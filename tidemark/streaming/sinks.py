@@ -11,15 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
-
+from tidemark.sources.sinks import table_exists
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+BUCKET = "_bucket"
 
 
 def with_bucket(df: DataFrame, keys, n_buckets: int) -> DataFrame:
@@ -31,7 +25,7 @@ def upsert_by_key(batch: DataFrame, path: str, keys, n_buckets: int = 64) -> Non
     spark = batch.sparkSession
     keys = list(keys)
     b = with_bucket(batch, keys, n_buckets).checkpoint(eager=True)
-    if not _exists(spark, path):
+    if not table_exists(spark, path):
         b.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         return
     old = spark.read.parquet(path)
