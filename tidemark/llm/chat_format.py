@@ -90,10 +90,11 @@ def reply_paths(spark: SparkSession, messages: DataFrame, branches: int = 1) ->
         before = live
         above = step.select("t", F.col("node").alias("up"), F.col("up").alias("up2"),
                             F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        step = step.join(above, ["t", "up"], "left").select(
-            "t", "node", F.col("up2").alias("up"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+        # only messages that have not reached their root move on
+        moved = step.where(F.col("up").isNotNull()).join(above, ["t", "up"]).select(
+            "t", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"),
+            (F.col("steps") + F.col("steps2")).alias("steps"))
+        step = step.where(F.col("up").isNull()).unionByName(moved)
     whole = steps[-1].where(F.col("up").isNull())           # all scores up to the root
     parents = ids.select("t", F.col("parent").alias("node")).where(F.col("node").isNotNull())
     best = Window.partitionBy("t").orderBy(F.desc("total"), "node")
