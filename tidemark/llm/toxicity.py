@@ -38,6 +38,7 @@ from tidemark.llm.words import U64, Words, chunks, code_point_table, words_of
 
 
 BEGINNINGS = (3, 4, 5, 6)
+FAINT = 0.1
 
 
 @dataclass
@@ -146,6 +147,8 @@ def _potential(model: Model, hits: tuple, first: np.ndarray, around: tuple) -> n
 def _doc_features(gamma: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     """Per text: 1, log of expected toxic tokens, largest marginal, share."""
     n = np.diff(first_word)
+    # faint marginals of clean tokens must not add up over a long text
+    gamma = np.where(gamma < FAINT, 0.0, gamma)
     total = np.add.reduceat(np.append(gamma, 0.0), first_word[:-1]) * (n > 0)
     most = np.maximum.reduceat(np.append(gamma, 0.0), first_word[:-1]) * (n > 0)
     return np.stack([np.ones(len(n)), np.log1p(total), most,
