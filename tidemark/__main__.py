@@ -2,7 +2,8 @@
 
   python -m tidemark build  --driver SF_DIR | --raw name=path ... --out DIR --as-of DATE
   python -m tidemark test   (same inputs)   runs the 55 data tests on the built tables
-  python -m tidemark report (same inputs) [--name REPORT]   prints dashboard reports
+  python -m tidemark report (same inputs) [--name REPORT] [--regions R ...] [--sources S ...]
+                            prints dashboard reports
 
 ``--driver`` reads the test tables through the fixture binding; ``--raw`` takes
 Parquet paths of the six raw tables (users, user_events, subscriptions,
@@ -37,10 +38,15 @@ def main(argv=None) -> int:
     ap.add_argument("--first-month", default=None)
     ap.add_argument("--last-month", default=None)
     ap.add_argument("--name", default=None, help="one report (default: all)")
+    ap.add_argument("--regions", nargs="*", default=None,
+                    help="regions of the reports (none named: all known regions)")
+    ap.add_argument("--sources", nargs="*", default=None,
+                    help="signup sources of the reports (none named: the fallback source)")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
     from tidemark.plans.build import BuildParams, build_models, dashboard
+    from tidemark.plans.reports import Filters
     from tidemark.session import build_session
 
     spark = build_session(args.master)
@@ -61,7 +67,9 @@ def main(argv=None) -> int:
         if not all(r.passed for r in rows):
             return 1
     else:
-        reports = dashboard(models, args.as_of)
+        chosen = Filters(*(None if x is None else tuple(x)
+                           for x in (args.regions, args.sources)))
+        reports = dashboard(models, args.as_of, chosen)
         for name, df in reports.items():
             if args.name in (None, name):
                 print(f"== {name}")

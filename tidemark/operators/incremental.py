@@ -50,7 +50,7 @@ def _dedupe_latest(batch: DataFrame) -> DataFrame:
 
 
 def select_batch(events: DataFrame, hwm, mode: str = "strict",
-                 lookback_days: int = 3, target_empty: bool = False) -> DataFrame:
+                 lookback_days: int = 3) -> DataFrame:
     ts = F.col("event_timestamp")
     if mode == "strict":
         if hwm is None:

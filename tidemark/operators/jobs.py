@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rates import pct1
+from tidemark.functions.rates import pct1, ratio1
 from tidemark.functions.timeops import DAY_US, elapsed_micros
 from tidemark.operators.joins import join_dimension
 
@@ -49,8 +49,7 @@ def activation_lift(users: DataFrame, events: DataFrame, subs: DataFrame,
     tot = per_user.agg(F.count_if("a").alias("ta"), F.count_if(F.col("a") & F.col("p")).alias("pa"),
                        F.count_if(~F.col("a")).alias("tn"),
                        F.count_if(~F.col("a") & F.col("p")).alias("pn"))
-    # lift = (pa/ta) / (pn/tn) = pa*tn / (ta*pn), rounded exactly to 0.1
-    lift = pct1(F.col("pa") * F.col("tn"), F.col("ta") * F.col("pn"), scale=1)
+    lift = ratio1("pa", "ta", "pn", "tn")
     rows = F.array(
         F.struct(F.lit(True).alias("is_activated"), F.col("ta").alias("users"),
                  F.col("pa").alias("paid")),

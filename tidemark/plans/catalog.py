@@ -45,3 +45,4 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 from tidemark.plans import (  # noqa: E402,F401
     queries_core, queries_more, queries_revenue, queries_stream,
 )
+from tidemark.plans import queries_filtered  # noqa: E402,F401  (reads the oracles above)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import cents_to_dollars
+from tidemark.operators import engagement as E
 from tidemark.operators import incremental as I
 from tidemark.operators import jobs as J
 from tidemark.operators import marts as M
@@ -15,7 +16,7 @@ from tidemark.operators import revenue as RV
 from tidemark.plans import reports as R
 from tidemark.plans import suite as SU
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import rate, sql
+from tidemark.plans.oracle import BROKEN, rate, sql
 from tidemark.sources import bindings as B
 from tidemark.sources import sinks as SK
 from tidemark.sources.contracts import cast_to_contract
@@ -52,12 +53,12 @@ def q_dim_date(s, d):
 
 
 @register("kpi_dau_wau_mau", sql(f"""
-  SELECT dau, wau, mau, coalesce({rate('wau', 'mau')}, CAST(0 AS DOUBLE)) AS wau_mau_ratio
-  FROM (SELECT
-    count(DISTINCT CASE WHEN event_date = DATE '2024-01-30' THEN user_id END) AS dau,
-    count(DISTINCT CASE WHEN event_date >= DATE '2024-01-24' THEN user_id END) AS wau,
-    count(DISTINCT CASE WHEN event_date >= DATE '2024-01-01' THEN user_id END) AS mau
-  FROM o_fct_events) t""", "o_fct_events"))
+  SELECT *, coalesce({rate('wau', 'mau')}, CAST(0 AS DOUBLE)) AS wau_mau_ratio
+  FROM (SELECT count(*) FILTER (WHERE list_contains(days, DATE '2024-01-30')) AS dau,
+               count(*) FILTER (WHERE list_max(days) > DATE '2024-01-23') AS wau,
+               count(*) FILTER (WHERE list_max(days) > DATE '2023-12-31') AS mau
+        FROM (SELECT user_id, list(DISTINCT event_date) AS days FROM o_fct_events
+              WHERE user_id IS NOT NULL GROUP BY user_id) u) t""", "o_fct_events"))
 def q_kpi_dau_wau_mau(s, d):
     return R.kpi_dau_wau_mau(_fct_events(s, d), B.AS_OF)
 
@@ -116,27 +117,13 @@ def q_dq_relationships(s, d):
     return Q.relationships(B.users(s, d), "user_id", B.user_events(s, d), "user_id")
 
 
-@register("dq_milestones_after_signup", sql("""
-  SELECT user_id, signed_up_at, created_first_board_at, invited_first_member_at,
-         active_in_week_2_at, upgraded_to_paid_at
-  FROM o_snapshot WHERE
-        (created_first_board_at IS NOT NULL AND created_first_board_at < signed_up_at)
-     OR (invited_first_member_at IS NOT NULL AND invited_first_member_at < signed_up_at)
-     OR (active_in_week_2_at IS NOT NULL AND active_in_week_2_at < signed_up_at)
-     OR (upgraded_to_paid_at IS NOT NULL AND upgraded_to_paid_at < signed_up_at)""",
-                                            "o_snapshot"))
+@register("dq_milestones_after_signup", sql(BROKEN["milestones"], "o_snapshot"))
 def q_dq_milestones(s, d):
     return Q.milestones_after_signup(
         M.funnel_snapshot(B.users(s, d), B.user_events(s, d), B.subscriptions(s, d)))
 
 
-@register("dq_mrr_reconciliation", sql("""
-  SELECT report_month, CAST(ending_mrr AS DOUBLE) AS ending_mrr,
-         CAST(expected AS DOUBLE) AS expected_ending_mrr,
-         CAST(abs(ending_mrr - expected) AS DOUBLE) AS difference
-  FROM (SELECT report_month, ending_mrr,
-               sum(net_new_mrr) OVER (ORDER BY report_month) AS expected FROM o_mrr) m
-  WHERE abs(ending_mrr - expected) > 0.01""", "o_mrr"))
+@register("dq_mrr_reconciliation", sql(BROKEN["reconciliation"], "o_mrr"))
 def q_dq_mrr_reconciliation(s, d):
     return Q.mrr_reconciliation(
         RV.mrr_waterfall(B.subscriptions(s, d), B.MRR_FIRST_MONTH, B.MRR_LAST_MONTH))
@@ -157,24 +144,52 @@ def q_dq_mrr_against_active(s, d):
                                 subs)
 
 
-@register("dq_events_before_signup", sql("""
-  SELECT e.event_id, e.user_id, e.event_timestamp, u.signed_up_at
-  FROM o_fct_events e JOIN o_dim_users u ON e.user_id = u.user_id
-  WHERE e.event_timestamp < u.signed_up_at""", "o_fct_events", "o_dim_users"))
+@register("dq_events_before_signup", sql(BROKEN["early_events"], "o_aged"))
 def q_dq_events_before_signup(s, d):
     users, events, subs = B.users(s, d), B.user_events(s, d), B.subscriptions(s, d)
     return Q.events_before_signup(M.fct_user_events(users, events),
                                   M.dim_users(users, events, subs))
 
 
-@register("dq_retention_boolean", sql("""
-  SELECT user_id, retention_day, is_retained FROM o_retention
-  WHERE is_retained NOT IN (0, 1)""", "o_retention"))
+@register("dq_retention_boolean", sql(BROKEN["boolean"], "o_retention"))
 def q_dq_retention_boolean(s, d):
     return Q.retention_boolean(
         RT.retention_flags(B.users(s, d), B.user_events(s, d), B.subscriptions(s, d)))
 
 
+@register("dq_not_null_resolved", sql("SELECT * FROM b_tickets WHERE resolved_at IS NULL",
+                                      "b_tickets"))
+def q_dq_not_null_resolved(s, d):
+    """The not-null test on a column that does hold nulls."""
+    return Q.not_null(B.conversations(s, d), "resolved_at")
+
+
+@register("dq_boolean_active_days", sql("""
+  SELECT user_id, 7 AS retention_day, active_days_week1 AS is_retained FROM o_activation
+  WHERE active_days_week1 > 1""", "o_activation"))
+def q_dq_boolean_active_days(s, d):
+    """The boolean test on a count: active days of week 1 in place of a flag."""
+    score = E.activation_score(B.users(s, d), B.user_events(s, d))
+    return Q.retention_boolean(score.select("user_id", F.lit(7).alias("retention_day"),
+                                            F.col("active_days_week1").alias("is_retained")))
+
+
+@register("dq_mrr_reconciliation_delta", sql("""
+  SELECT r.report_month, CAST(r.ending_mrr AS DOUBLE) AS ending_mrr,
+         CAST(m.ending_mrr AS DOUBLE) AS expected_ending_mrr,
+         CAST(abs(r.ending_mrr - m.ending_mrr) AS DOUBLE) AS difference
+  FROM o_mrr r JOIN o_mrr_delta m USING (report_month)
+  WHERE abs(r.ending_mrr - m.ending_mrr) > 0.01""", "o_mrr", "o_mrr_delta"))
+def q_dq_mrr_reconciliation_delta(s, d):
+    """The reconciliation test on net amounts that do not add up: ending MRR by
+    the full-amount rule against the movements."""
+    subs = B.subscriptions(s, d)
+    months = (B.MRR_FIRST_MONTH, B.MRR_LAST_MONTH)
+    ending = RV.mrr_waterfall(subs, *months).select("report_month", "ending_mrr")
+    net = RV.mrr_waterfall_delta(subs, *months).select("report_month", "net_new_mrr")
+    return Q.mrr_reconciliation(ending.join(net, "report_month"))
+
+
 @register("dq_suite", SU.suite_sql())
 def q_dq_suite(s, d):
     return SU.spark_suite(SU.driver_frames(s, d))

@@ -27,6 +27,9 @@ PLAN_MRR = {"free": 0, "pro": 29, "enterprise": 99}
 AS_OF = "2024-01-31"
 MRR_FIRST_MONTH = "2024-01-01"
 MRR_LAST_MONTH = "2030-08-01"
+# Region names, and the signup source that stands for none chosen.
+REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+FALLBACK_SOURCE = "AUTOMOBILE"
 
 
 # The driver tables' schemas (an explicit schema spares the
