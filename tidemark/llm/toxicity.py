@@ -12,7 +12,8 @@ lexicon's tokens in toxic documents, all others are clean.
 Scoring: forward-backward marginals of every token of the whole text;
 neighbouring tokens with a marginal of ``span_cut`` or more are a span.  The
 document score is a logistic function of the number of toxic tokens the
-marginals expect, their largest marginal and their share of the text.
+marginals expect, their largest marginal and their share of the text; tokens
+likelier clean than toxic (a marginal below 0.5) count as clean there.
 
 Scale: training sees a bounded sample of labelled rows (``rows_per_class`` per
 label, texts of up to ``max_chars`` characters, at most ``lexicon_size``
@@ -38,7 +39,7 @@ from tidemark.llm.words import U64, Words, chunks, code_point_table, words_of
 
 
 BEGINNINGS = (3, 4, 5, 6)
-FAINT = 0.1
+FAINT = 0.5
 
 
 @dataclass
@@ -147,7 +148,7 @@ def _potential(model: Model, hits: tuple, first: np.ndarray, around: tuple) -> n
 def _doc_features(gamma: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     """Per text: 1, log of expected toxic tokens, largest marginal, share."""
     n = np.diff(first_word)
-    # faint marginals of clean tokens must not add up over a long text
+    # a word repeated through a long text must not add up to toxic by doubts alone
     gamma = np.where(gamma < FAINT, 0.0, gamma)
     total = np.add.reduceat(np.append(gamma, 0.0), first_word[:-1]) * (n > 0)
     most = np.maximum.reduceat(np.append(gamma, 0.0), first_word[:-1]) * (n > 0)
