@@ -102,3 +102,48 @@ def test_retention_windows(spark):
     elig = {(r.user_id, r.retention_day): r.eligible
             for r in retention_flags(users, events, subs, as_of="2024-01-22").collect()}
     assert elig[("a", 14)] is True and elig[("a", 30)] is False
+
+
+def test_waterfalls_ties_nulls_and_repeats(spark):
+    """Several rows starting and ending at one instant, a row without user,
+    open starts and repeated rows, against a row-by-row brute force."""
+    jan, feb, mar = "2024-01-05T00:00:00", "2024-02-05T00:00:00", "2024-03-05T00:00:00"
+    rows = [("a1", "a", "pro", 29, jan, feb, "new"),
+            ("a2", "a", "enterprise", 99, jan, feb, "new"),          # a2 wins the tie
+            ("a3", "a", "free", 0, feb, mar, "churn"),
+            ("a4", "a", "free", 0, feb, None, "churn"),              # churns twice at once
+            ("a5", "a", "pro", 29, feb, mar, "contraction"),
+            ("b1", "b", "pro", 29, jan, mar, "new"),                 # nothing follows
+            ("c1", None, "pro", 29, jan, feb, "new"),
+            ("c2", None, "free", 0, feb, None, "churn"),             # no user: meets nothing
+            ("d1", "d", "pro", None, jan, feb, "new"),
+            ("d2", "d", "pro", 29, feb, None, "expansion"),
+            ("d2", "d", "pro", 29, feb, None, "expansion"),
+            ("e1", "e", "free", 0, None, feb, "churn")]
+
+    def prev(user, at):
+        ended = [r for r in rows if user is not None and r[1] == user and r[5] == at and at]
+        return (max(ended, key=lambda r: (r[4] or "", r[0]))[3] or 0) if ended else 0
+
+    def month(at):
+        return at[:7] if at else None
+    rule = {m: [0, 0, 0, 0] for m in ("2024-01", "2024-02", "2024-03", None)}
+    delta = {m: [0, 0, 0, 0] for m in rule}
+    for _, user, plan, mrr, start, end, change in rows:
+        before, mrr, m = prev(user, start), mrr or 0, month(start)
+        rule[m][0] += mrr if change == "new" and plan != "free" else 0
+        rule[m][1] += mrr if change == "expansion" else 0
+        rule[m][3] += before if change == "churn" else 0
+        delta[m][0] += mrr if before == 0 else 0
+        delta[m][1] += max(mrr - before, 0) if before else 0
+        delta[m][2] += max(before - mrr, 0) if before and mrr else 0
+        delta[m][3] += before if mrr == 0 else 0
+        if end and not any(user is not None and r[1] == user and r[4] == end for r in rows):
+            delta[month(end)][3] += mrr
+    for build, want in ((mrr_waterfall, rule), (mrr_waterfall_delta, delta)):
+        df = build(subs_df(spark, rows), "2024-01-01", "2024-03-01")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3 and "SortMergeJoin" not in plan
+        got = {str(r.report_month)[:7]: [int(x) for x in r[1:5]] for r in df.collect()}
+        assert got == {m: v for m, v in want.items() if m}, build.__name__
+        assert dict(df.dtypes)["churn_mrr"] == "decimal(20,2)"

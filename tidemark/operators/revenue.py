@@ -2,8 +2,8 @@
 
 Everything per user is an aggregate (partial + final), never a window over a
 user's rows, so a user with millions of subscription rows is reduced
-map-side.  The predecessor lookup ("the row that ended when this one started")
-is an equi-join on (user_id, timestamp), whose keys are close to unique.
+map-side.  The predecessor of a row ("the row that ended when this one started")
+is found by grouping starts and ends on (user_id, instant), in one exchange.
 """
 
 from __future__ import annotations
@@ -46,31 +46,24 @@ def current_plan(subs: DataFrame) -> DataFrame:
     return subscription_rollup(subs).select("user_id", "current_plan", "current_mrr")
 
 
-def predecessor_mrr(subs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(user_id, ended_at) -> mrr of the row that ended then (one per key;
-    greatest (started_at, subscription_id) wins a tie).  With ``wanted``
-    (columns user_id, started_at) only those keys are reduced: the semi-join
-    runs on the exchange the aggregate needs anyway, and the sort-based
-    aggregate sees only the rows that are looked up."""
-    ended = subs.filter(F.col("ended_at").isNotNull())
-    if wanted is not None:
-        keys = wanted.select(F.col("user_id").alias("w_user"),
-                             F.col("started_at").alias("w_start"))
-        ended = ended.join(keys, (ended.user_id == keys.w_user)
-                           & (ended.ended_at == keys.w_start), "left_semi")
-    ended = ended.select("user_id", F.col("ended_at").alias("pred_end"), "started_at",
-                         "subscription_id", "mrr")
-    # nearly every key has one row: a hash aggregate answers those; only keys
-    # with several rows go through the ordered (sort-based) tie-break
-    counted = ended.groupBy("user_id", "pred_end").agg(F.count(F.lit(1)).alias("n"),
-                                                       F.max("mrr").alias("pred_mrr"))
-    single = counted.filter(F.col("n") == 1).select("user_id", "pred_end", "pred_mrr")
-    tied = counted.filter(F.col("n") > 1).select("user_id", "pred_end")
-    resolved = (ended.join(tied, ["user_id", "pred_end"], "left_semi")
-                .groupBy("user_id", "pred_end")
-                .agg(F.max_by("mrr", F.struct("started_at", "subscription_id"))
-                     .alias("pred_mrr")))
-    return single.unionByName(resolved).withColumnRenamed("user_id", "pred_user")
+def _instants(subs: DataFrame) -> DataFrame:
+    """Every row as its start and its end, keyed (user_id, at): ``mrr`` with
+    ``churned`` / ``starts`` (0 or 1) of a start, ``last_end`` (the order among
+    rows ending at once) of an end.  One scan; keys that are NULL meet nothing."""
+    end_order = F.struct(F.col("started_at"), F.col("subscription_id"))
+    start = F.struct(F.col("started_at").alias("at"), F.lit(1).alias("starts"),
+                     F.coalesce(F.col("change_type") == "churn", F.lit(False))
+                     .cast("int").alias("churned"),
+                     F.lit(None).cast(_end_type(subs)).alias("last_end"))
+    end = F.struct(F.col("ended_at").alias("at"), F.lit(0).alias("starts"),
+                   F.lit(0).alias("churned"), end_order.alias("last_end"))
+    return (subs.select("user_id", "mrr", F.inline(F.array(start, end)))
+            .filter(F.col("at").isNotNull()))
+
+
+def _end_type(subs: DataFrame) -> str:
+    types = dict(subs.dtypes)
+    return f"struct<started_at:{types['started_at']},subscription_id:{types['subscription_id']}>"
 
 
 def _spine_join(spark: SparkSession, monthly: DataFrame, first_month, last_month) -> DataFrame:
@@ -100,21 +93,26 @@ def mrr_waterfall(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
     outside the spine drop out."""
     spark = subs.sparkSession
     ct, plan = F.col("change_type"), F.col("plan")
-    # NULL change_type: kept for a paid plan, dropped for free (3-valued OR).
-    changes = subs.filter((ct != "new") | (plan != "free")).select(
-        "user_id", "plan", "change_type", "mrr", "started_at",
-        trunc_date("month", "started_at").alias("report_month"))
-    # only churn rows look up a predecessor
-    pred = predecessor_mrr(subs, wanted=changes.filter(F.col("change_type") == "churn"))
-    cond = ((changes.user_id == pred.pred_user) & (changes.started_at == pred.pred_end)
-            & (changes.change_type == "churn"))
-    j = changes.join(pred, cond, "left")
-    lost = F.coalesce(F.col("pred_mrr"), F.lit(0).cast("decimal(10,2)"))
-    monthly = j.groupBy("report_month").agg(
-        F.sum(F.when((ct == "new") & (plan != "free"), F.col("mrr"))).alias("new_mrr"),
-        F.sum(F.when(ct == "expansion", F.col("mrr"))).alias("expansion_mrr"),
+    none, month = F.lit(None).cast("decimal(10,2)"), trunc_date("month", "started_at")
+    gains = subs.select(
+        month.alias("report_month"),
+        F.when((ct == "new") & (plan != "free"), F.col("mrr")).alias("new_mrr"),
+        F.when(ct == "expansion", F.col("mrr")).alias("expansion_mrr"),
+        none.alias("lost"), F.lit(0).cast("long").alias("times"))
+    # one aggregate per (user, instant) finds the churn rows that start and the
+    # row that ended then (greatest started_at, subscription_id); only starts
+    # of churn rows and ends of rows are shuffled
+    met = (_instants(subs).filter((F.col("churned") == 1) | F.col("last_end").isNotNull())
+           .groupBy("user_id", "at")
+           .agg(F.sum("churned").alias("times"),
+                F.max_by("mrr", "last_end").alias("lost"))
+           .filter((F.col("times") > 0) & F.col("user_id").isNotNull()))
+    losses = met.select(trunc_date("month", "at").alias("report_month"), none.alias("new_mrr"),
+                        none.alias("expansion_mrr"), "lost", "times")
+    monthly = gains.unionByName(losses).groupBy("report_month").agg(
+        F.sum("new_mrr").alias("new_mrr"), F.sum("expansion_mrr").alias("expansion_mrr"),
         F.lit(0).cast("decimal(10,2)").alias("contraction_mrr"),
-        F.sum(F.when(ct == "churn", lost)).alias("churn_mrr"))
+        F.sum(F.col("lost") * F.col("times")).cast("decimal(20,2)").alias("churn_mrr"))
     return _spine_join(spark, monthly, first_month, last_month)
 
 
@@ -126,30 +124,29 @@ def mrr_waterfall_delta(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
     ``ended_at`` when nothing follows.  Ending MRR equals active MRR when all
     changes fall inside the spine."""
     spark = subs.sparkSession
-    pred = predecessor_mrr(subs)
-    rows = subs.select("user_id", "mrr", "started_at")
-    j = rows.join(pred, (rows.user_id == pred.pred_user)
-                  & (rows.started_at == pred.pred_end), "left")
+    # equal amounts of one (user, instant) are counted together first, so what
+    # the window sees per instant is its distinct amounts, not its rows
+    amounts = _instants(subs).groupBy("user_id", "at", "mrr").agg(
+        F.sum("starts").alias("starts"), F.count("last_end").alias("ends"),
+        F.max("last_end").alias("last_end"))
+    at = Window.partitionBy("user_id", "at")
+    # rows without a user meet no other row: no predecessor, no successor
+    known = F.col("user_id").isNotNull()
     zero = F.lit(0).cast("decimal(10,2)")
-    prev, mrr = F.coalesce(F.col("pred_mrr"), zero), F.coalesce(F.col("mrr"), zero)
-    moves = j.select(
-        trunc_date("month", "started_at").alias("report_month"),
-        F.when((prev == 0) & (mrr > 0), mrr).alias("new_mrr"),
-        F.when((prev > 0) & (mrr > prev), mrr - prev).alias("expansion_mrr"),
-        F.when((prev > 0) & (mrr > 0) & (mrr < prev), prev - mrr).alias("contraction_mrr"),
-        F.when((prev > 0) & (mrr == 0), prev).alias("churn_mrr"))
-    # Rows that end with no successor lose their MRR in the month they end.
-    successors = subs.select(F.col("user_id").alias("s_user"),
-                             F.col("started_at").alias("s_start")).distinct()
-    ended = subs.filter(F.col("ended_at").isNotNull() & (F.col("mrr") > 0))
-    orphan = ended.join(successors, (ended.user_id == successors.s_user)
-                        & (ended.ended_at == successors.s_start), "left_anti")
-    ends = orphan.select(trunc_date("month", "ended_at").alias("report_month"),
-                         F.lit(None).cast("decimal(10,2)").alias("new_mrr"),
-                         F.lit(None).cast("decimal(10,2)").alias("expansion_mrr"),
-                         F.lit(None).cast("decimal(10,2)").alias("contraction_mrr"),
-                         F.col("mrr").alias("churn_mrr"))
-    monthly = moves.unionByName(ends).groupBy("report_month").agg(
-        *[F.sum(c).alias(c) for c in ("new_mrr", "expansion_mrr", "contraction_mrr",
-                                       "churn_mrr")])
+    met = amounts.select(
+        trunc_date("month", "at").alias("report_month"), "starts", "ends",
+        F.coalesce("mrr", zero).alias("mrr"),
+        F.when(known, F.sum("starts").over(at)).otherwise(F.lit(0)).alias("followers"),
+        F.coalesce(F.when(known, F.max_by("mrr", "last_end").over(at)), zero).alias("prev"))
+    prev, mrr, n = F.col("prev"), F.col("mrr"), F.col("starts")
+    monthly = met.groupBy("report_month").agg(*[
+        F.sum(v).cast("decimal(20,2)").alias(c) for c, v in (
+            ("new_mrr", F.when((prev == 0) & (mrr > 0) & (n > 0), mrr * n)),
+            ("expansion_mrr", F.when((prev > 0) & (mrr > prev) & (n > 0), (mrr - prev) * n)),
+            ("contraction_mrr", F.when((prev > 0) & (mrr > 0) & (mrr < prev) & (n > 0),
+                                       (prev - mrr) * n)),
+            # lost going to zero, and by rows that end with no successor
+            ("churn_mrr", F.when((prev > 0) & (mrr == 0) & (n > 0), prev * n).otherwise(zero)
+             + F.when((F.col("followers") == 0) & (mrr > 0), mrr * F.col("ends"))
+             .otherwise(zero)))])
     return _spine_join(spark, monthly, first_month, last_month)
