@@ -105,8 +105,26 @@ def test_retention_boolean_null_passes(spark):
     assert [r.is_retained for r in Q.retention_boolean(flags).collect()] == [2]
 
 
-def test_relationships_count(spark):
-    child = spark.createDataFrame([("1",), ("2",), ("2",), (None,), ("3",)], "k string")
-    parent = spark.createDataFrame([("1",)], "k string")
-    assert Q.relationships_count(child, "k", parent, "k").first().violations == 3
-    assert Q.relationships_count(child.filter("k = '1'"), "k", parent, "k").first().violations == 0
+def test_count_checks_share_passes(spark):
+    """Each generic check counts as its own frame would; names without rows pass."""
+    schema = "k string, n int, v string"
+    child = spark.createDataFrame([("1", 1, "x"), ("2", 1, "y"), ("2", None, "y"),
+                                   (None, 2, None), ("3", 3, "z")], schema)
+    parent = spark.createDataFrame([("1",), ("1",), (None,)], "k string")
+    checks = [Q.Check("rel", "child", "relationships", "k", parent="parent", parent_column="k"),
+              Q.Check("rel_self", "parent", "relationships", "k", parent="parent",
+                      parent_column="k"),
+              Q.Check("uq_k", "child", "unique", "k"), Q.Check("uq_n", "child", "unique", "n"),
+              Q.Check("uq_v", "child", "unique", "v"),
+              Q.Check("nn_k", "child", "not_null", "k"), Q.Check("nn_n", "child", "not_null", "n"),
+              Q.Check("in_v", "child", "accepted_values", "v", values=("x",)),
+              Q.Check("uq_p", "parent", "unique", "k")]
+    names = [c.name for c in checks]
+
+    def counts(c, p):
+        rows = Q.run_suite([], Q.count_checks(checks, {"child": c, "parent": p}), names)
+        return {r.test_name: r.violations for r in rows.collect()}
+    assert counts(child, parent) == {"rel": 3, "rel_self": 0, "uq_k": 1, "uq_n": 1, "uq_v": 1,
+                                     "nn_k": 1, "nn_n": 1, "in_v": 2, "uq_p": 1}
+    assert counts(child.limit(0), parent.limit(0)) == dict.fromkeys(names, 0)
+

@@ -1,9 +1,9 @@
 """Data-quality tests.  Each returns the violating rows; empty means pass.
 
 Generic tests (not_null, unique, accepted_values, relationships) take any
-frame; the singular tests take the marts they check.  ``run_suite`` reduces
-many tests to one row each (name, violations, passed) in a single job: a
-union of global counts, each of which is a partial + final aggregate.
+frame; the singular tests take the marts they check.  ``count_checks`` shares
+passes between tests, ``run_suite`` reduces all of them to one row each
+(name, violations, passed) in a single job.
 """
 
 from __future__ import annotations
@@ -44,18 +44,6 @@ def relationships(child: DataFrame, col: str, parent: DataFrame, parent_col: str
     return kid.join(keys, kid[col] == keys["__parent_key"], "left_anti")
 
 
-def relationships_count(child: DataFrame, col: str, parent: DataFrame,
-                        parent_col: str) -> DataFrame:
-    """Number of orphan child rows, one row: the child is reduced per key
-    first (partial aggregation absorbs a hot key), then the distinct keys are
-    anti-joined with the parent's."""
-    per_key = (child.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__k"))
-               .agg(F.count(F.lit(1)).alias("__n")))
-    keys = parent.select(F.col(parent_col).alias("__parent_key")).distinct()
-    orphans = per_key.join(keys, per_key["__k"] == keys["__parent_key"], "left_anti")
-    return orphans.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("violations"))
-
-
 def milestones_after_signup(snapshot: DataFrame) -> DataFrame:
     """Users with a milestone stamped before their signup."""
     s = F.col("signed_up_at")
@@ -116,53 +104,64 @@ class Check:
     args: dict = field(default_factory=dict, compare=False, hash=False)
 
 
-def check_frame(check: Check, frames: dict[str, DataFrame]) -> DataFrame:
-    df = frames[check.table]
-    if check.kind == "not_null":
-        return not_null(df, check.column)
-    if check.kind == "unique":
-        return unique(df, check.column)
-    if check.kind == "accepted_values":
-        return accepted_values(df, check.column, check.values)
-    if check.kind == "relationships":
-        return relationships(df, check.column, frames[check.parent], check.parent_column)
-    raise ValueError(f"singular checks are passed as frames: {check.name}")
-
-
 def count_checks(checks: list[Check], frames: dict[str, DataFrame]) -> list[DataFrame]:
-    """(test_name, violations) frames.  All not_null checks of one table
-    share a single aggregate pass over it; the others need their own
-    grouping or anti-join."""
+    """(test_name, violations) frames, several rows per test to be added up.
+
+    One aggregate per table serves its not_null and accepted_values checks; the
+    keys of all unique checks of one data type go through a single group-by, and
+    so do the children of all relationships to one parent."""
     out: list[DataFrame] = []
-    by_table: dict[str, list[Check]] = {}
+    cells: dict[str, list[tuple[str, object]]] = {}
+    keyed: dict[str, list[DataFrame]] = {}
+    children: dict[tuple, list[DataFrame]] = {}
     for c in checks:
+        df, col = frames[c.table], F.col(c.column)
+        name = F.lit(c.name).alias("test_name")
         if c.kind == "not_null":
-            by_table.setdefault(c.table, []).append(c)
+            cells.setdefault(c.table, []).append((c.name, F.count_if(col.isNull())))
+        elif c.kind == "accepted_values":        # distinct values outside the list
+            cells.setdefault(c.table, []).append(
+                (c.name, F.count_distinct(F.when(~col.isin(*c.values), col))))
+        elif c.kind == "unique":
+            keyed.setdefault(dict(df.dtypes)[c.column], []).append(
+                df.select(name, col.alias("k")).filter(F.col("k").isNotNull()))
         elif c.kind == "relationships":
-            out.append(relationships_count(frames[c.table], c.column, frames[c.parent],
-                                           c.parent_column)
-                       .select(F.lit(c.name).alias("test_name"), "violations"))
+            children.setdefault((c.parent, c.parent_column), []).append(
+                df.select(name, col.alias("k")).filter(F.col("k").isNotNull()))
         else:
-            out.append(check_frame(c, frames).agg(F.count(F.lit(1)).alias("violations"))
-                       .select(F.lit(c.name).alias("test_name"), "violations"))
-    for table, cs in by_table.items():
-        counts = frames[table].agg(*[F.count_if(F.col(c.column).isNull()).alias(f"v{i}")
-                                     for i, c in enumerate(cs)])
-        cells = F.array(*[F.struct(F.lit(c.name).alias("test_name"),
-                                   F.col(f"v{i}").alias("violations"))
-                          for i, c in enumerate(cs)])
-        out.append(counts.select(F.inline(cells)))
+            raise ValueError(f"singular checks are passed as frames: {c.name}")
+    for table, tests in cells.items():
+        counts = frames[table].agg(*[e.alias(f"v{i}") for i, (_, e) in enumerate(tests)])
+        out.append(counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("test_name"), F.col(f"v{i}").alias("violations"))
+            for i, (name, _) in enumerate(tests)]))))
+    for rows in keyed.values():
+        out.append(union_all(rows).groupBy("test_name", "k")
+                   .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+                   .select("test_name", F.lit(1).cast("long").alias("violations")))
+    for (parent, column), rows in children.items():
+        # children are reduced per key first (a hot key shrinks map-side)
+        per_key = union_all(rows).groupBy("k", "test_name").agg(F.count(F.lit(1)).alias("n"))
+        known = frames[parent].select(F.col(column).alias("p")).distinct()
+        out.append(per_key.join(known, F.col("k") == F.col("p"), "left_anti")
+                   .select("test_name", F.col("n").alias("violations")))
     return out
 
 
-def run_suite(results: list[tuple[str, DataFrame]],
-              counted: list[DataFrame] = ()) -> DataFrame:
-    """(name, violating rows) pairs, plus frames already reduced to
-    (test_name, violations) -> one row per test."""
+def run_suite(results: list[tuple[str, DataFrame]], counted: list[DataFrame] = (),
+              names: list[str] = ()) -> DataFrame:
+    """(name, violating rows) pairs, plus (test_name, violations) frames whose
+    rows are added up -> one row per test; ``names`` are tests that also have a
+    row when no frame mentions them."""
     counts = [df.agg(F.count(F.lit(1)).alias("violations"))
               .select(F.lit(name).alias("test_name"), "violations")
               for name, df in results] + list(counted)
-    out = union_all(counts)
+    if names:
+        some = counts[0].sparkSession
+        counts.append(some.range(1).select(
+            F.explode(F.array(*[F.lit(n) for n in names])).alias("test_name"),
+            F.lit(0).cast("long").alias("violations")))
+    out = union_all(counts).groupBy("test_name").agg(F.sum("violations").alias("violations"))
     return out.select("test_name", "violations", (F.col("violations") == 0).alias("passed"))
 
 
