@@ -16,9 +16,10 @@ def sink_view(df: DataFrame, name: str) -> DataFrame:
 
 def sink_table(df: DataFrame, path: str, partition_by: tuple = (),
                fmt: str = "parquet") -> DataFrame:
-    """Full refresh: the job writes to the path in one commit (a failed job
-    leaves no partial table behind), then the table is read back, so
-    downstream work starts from the files, not the lineage."""
+    """Full refresh: replaces the table at the path, then reads it back, so
+    downstream work starts from the files, not the lineage.  The old files go
+    before the new ones are committed: after a failed job there is no table
+    until the job is run again."""
     # a full refresh replaces every partition (never only the ones written)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
     if partition_by:
