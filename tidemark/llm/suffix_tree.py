@@ -4,8 +4,8 @@ The tree's states are contexts of 0 to ``DEPTH`` characters (A-Z lower-cased;
 text boundaries are a symbol).  A context stays if its next-symbol
 distribution diverges enough from that of the context one character shorter:
 n * KL >= ``min_gain`` nats, n its number of occurrences, which is ``min_count``
-or more; of these the
-``max_states`` with the highest gain and all their shorter contexts.  A
+or more; so do all shorter contexts of one that stays.  There is no limit to
+their number.  A
 state's distribution is smoothed with its parent's (Witten-Bell: as much
 weight as the state has seen different symbols), down to the uniform one.  A
 character is scored in the state of the longest retained suffix of the text
@@ -13,11 +13,14 @@ before it; a text's score is the sum of log10 probabilities of its characters
 and its end, a probability over all texts.
 
 Scale: counts cover all learning texts.  Tasks count their own texts, counts
-are merged by aggregation, the divergence test is joins and aggregates over
-the merged counts; only retained states (bounded by ``max_states``) come to the
-driver and travel with the tasks that score.  Word counts for the base score
-stay distributed: the ``heavy`` most frequent words (bounded) are looked up in
-the task, the rest is joined by word.
+are merged by aggregation.  The merged counts are dealt into buckets by the
+``NEAR + 1`` symbols before the predicted one, so that a bucket has everything
+the longer contexts need; only contexts of up to ``NEAR`` symbols (bounded by
+the alphabet) come to the driver.  Texts are scored in chunks: the distinct
+grams of a chunk are sent to their buckets, tested and scored there, and the
+answers summed with the chunk's symbols.  Word counts for the base score stay
+distributed: the ``heavy`` most frequent words (bounded) are looked up in the
+task, the rest is joined by word.
 
 Defined results: a null text counts as empty and has one token, its end.
 Without learning texts all counts are zero and every symbol is equally likely.
@@ -32,18 +35,21 @@ from math import log10
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, python_tasks
+from tidemark.llm.streams import group_starts
 from tidemark.llm.words import chunks
 
 DEPTH, BITS = 5, 6
 SYMBOLS = 1 << BITS                     # 0: text boundary, 1: any other character
-PAD, END = "\ud800", "\ud801"          # cannot occur in a text
+NEAR = 2                                # depth up to which all contexts are known everywhere
+SPREAD = 2654435761
 MANY = 300_000                          # entries a counting task holds before it passes them on
+CHUNK = 3_000_000                       # characters whose grams are asked for at once
+PIECE = 16_384                          # grams of a request
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -51,13 +57,33 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _symbols(texts: list[str], table: np.ndarray):
-    """Symbols of the padded texts, which of them are to be predicted, and the
-    index behind each text."""
-    joined = "".join([PAD * DEPTH + t + END for t in texts])
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([DEPTH + len(t) + 1 for t in texts])
-    return table[chars], chars != ord(PAD), ends
+def _packed(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts, one byte each, and the length of each text."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return table[chars], np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def _padded(symbols: np.ndarray, lengths: np.ndarray):
+    """Symbols of the texts behind DEPTH boundaries each and before one, which
+    of them are to be predicted, and the index behind each text."""
+    ends = np.cumsum(lengths + DEPTH + 1)
+    start = ends - lengths - 1
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(len(symbols)) + np.repeat(start - first, lengths)
+    out[at] = symbols
+    real = np.zeros(len(out), dtype=bool)
+    real[at] = True
+    real[ends - 1] = True
+    return out, np.flatnonzero(real), ends
+
+
+def _grams(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Symbol at each index and the DEPTH before it, the nearest in the lowest bits."""
+    gram = symbols[at].astype(np.int64)
+    for j in range(1, DEPTH + 1):
+        gram |= symbols[at - j].astype(np.int64) << (BITS * j)
+    return gram
 
 
 # ---- counting -------------------------------------------------------------
@@ -98,12 +124,8 @@ def _gram_counter(table: np.ndarray):
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for lo, hi in chunks(texts):
-                symbols, real, _ = _symbols(texts[lo:hi], table)
-                at = np.flatnonzero(real)
-                gram = symbols[at].astype(np.int64)
-                for j in range(1, DEPTH + 1):
-                    gram |= symbols[at - j].astype(np.int64) << (BITS * j)
-                held.append(np.unique(gram, return_counts=True))
+                symbols, at, _ = _padded(*_packed(texts[lo:hi], table))
+                held.append(np.unique(_grams(symbols, at), return_counts=True))
                 size += len(held[-1][0])
                 if size > 4 * MANY:
                     held = [merged()]
@@ -117,109 +139,221 @@ def _gram_counter(table: np.ndarray):
     return count
 
 
-def retained_states(spark: SparkSession, grams: DataFrame, min_gain: float, min_count: int,
-                    max_states: int) -> DataFrame:
-    """``depth, context, nexts`` (map of next symbol to count) of the contexts
-    that the divergence test keeps.
-
-    The low bits of a gram hold the predicted symbol, the next ones the symbol
-    before it, and so on, so shorter contexts are masks of longer ones.
-    """
-    depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    mask = lambda symbols: F.call_function(
-        "shiftleft", F.lit(1).cast("long"), symbols * BITS) - 1
-    symbol = F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int")
-    contexts = materialize(
-        spark, grams.select("gram", "n", depths.alias("depth"))
-        .select("depth", F.col("gram").bitwiseAND(mask(F.col("depth") + 1)).alias("key"), "n")
-        .groupBy("depth", "key").agg(F.sum("n").alias("n"))
-        .groupBy("depth", F.shiftright("key", BITS).alias("context"))
-        .agg(F.sum("n").alias("total"),
-             F.map_from_entries(F.collect_list(F.struct(symbol, "n"))).alias("nexts"))
-        .where((F.col("total") >= min_count) | (F.col("depth") == 0)), "contexts")
-    parent = contexts.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("short"),
-                             F.col("total").alias("ptotal"), F.col("nexts").alias("pnexts"))
-    # log likelihood won over the parent: n * KL
-    gain = F.aggregate(
-        F.map_entries("nexts"), F.lit(0.0),
-        lambda acc, e: acc + e["value"] * F.log(
-            e["value"] * F.col("ptotal") / (F.col("total") * F.element_at("pnexts", e["key"]))))
-    kept = (contexts.where(F.col("depth") > 0)
-            .withColumn("short", F.col("context").bitwiseAND(mask(F.col("depth") - 1)))
-            .join(parent, ["depth", "short"])
-            .select("depth", "context", gain.alias("gain"))
-            .where(F.col("gain") >= min_gain)
-            .orderBy(F.desc("gain"), "depth", "context").limit(max_states))
-    shorter = kept.select(F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"), "context")
-    closed = shorter.select(
-        "depth", F.col("context").bitwiseAND(mask(F.col("depth"))).alias("context")).distinct()
-    return contexts.join(closed, ["depth", "context"], "left_semi").select(
-        "depth", "context", "nexts").unionByName(
-        contexts.where(F.col("depth") == 0).join(closed, ["depth", "context"], "left_anti")
-        .select("depth", "context", "nexts"))
-
-
-class Tree:
-    """Retained states as tables: the state one character deeper, and log10
-    probabilities of the next symbol."""
-
-    def __init__(self, table: np.ndarray, states: pa.Table):
-        self.table = table
-        depth, context = (states.column(c).to_numpy().astype(np.int64)
-                          for c in ("depth", "context"))
-        order = np.lexsort((context, depth))
-        index = {key: i for i, key in enumerate(zip(depth[order].tolist(),
-                                                    context[order].tolist()))}
-        index = index or {(0, 0): 0}
-        size = len(index)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        nexts = states.column("nexts").combine_chunks()
-        row = np.repeat(place, np.diff(nexts.offsets.to_numpy()))
-        counts = np.zeros((size, SYMBOLS), dtype=np.float32)
-        counts[row, nexts.keys.to_numpy()] = nexts.items.to_numpy()
-        seen = (counts > 0).sum(axis=1)
-        self.nowhere = size
-        self.child = np.full((size + 1, SYMBOLS), size, dtype=np.int32)
-        p = counts                                         # turned into probabilities in place
-        for (depth, context), i in index.items():          # shorter contexts first
-            if depth == 0:
-                before = np.full(SYMBOLS, 1 / SYMBOLS)
-            else:
-                above = BITS * (depth - 1)
-                up = index[depth - 1, context & ((1 << above) - 1)]
-                self.child[up, context >> above] = i
-                before = p[up]
-            weight = max(seen[i], 1)
-            p[i] = (counts[i] + weight * before) / (counts[i].sum(dtype=np.float64) + weight)
-        self.log = np.log10(p)
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = []
-        child, log = self.child.ravel(), self.log.ravel()
-        for lo, hi in chunks(texts):
-            symbols, real, ends = _symbols(texts[lo:hi], self.table)
-            at = np.flatnonzero(real)
-            node = np.zeros(len(at), dtype=np.int32)
-            best = node
-            for j in range(1, DEPTH + 1):
-                node = child[node * SYMBOLS + symbols[at - j]]
-                best = np.where(node == self.nowhere, best, node)
-            value = np.zeros(len(symbols))
-            value[at] = log[best.astype(np.int64) * SYMBOLS + symbols[at]]
-            value[symbols == 1] -= log10(0x110000)
-            out.append(np.add.reduceat(value, np.concatenate([[0], ends[:-1]])))
-        return np.concatenate(out) if out else np.zeros(0)
+# ---- the tree, by bucket ----------------------------------------------------
+
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Grams of the same ``NEAR + 1`` symbols before the predicted one share a bucket."""
+    near = (gram >> BITS) & ((1 << BITS * (NEAR + 1)) - 1)
+    return ((near * SPREAD) >> 16) % buckets
+
+
+def _bucket_column(buckets: int):
+    near = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << BITS * (NEAR + 1)) - 1))
+    return F.pmod(F.shiftright(near * F.lit(SPREAD), 16), F.lit(buckets)).cast("int")
+
+
+class Level:
+    """Counts of the contexts of one depth: ``keys`` have the predicted symbol
+    in the low bits, ``contexts`` lack it."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, inverse = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(inverse, weights=n, minlength=len(self.keys))
+        self.contexts, self.owner = np.unique(self.keys >> BITS, return_inverse=True)
+        self.total = np.bincount(self.owner, weights=self.n, minlength=len(self.contexts))
+        self.seen = np.bincount(self.owner, minlength=len(self.contexts))
+
+    def passing(self, above: Level, depth: int, min_gain: float, min_count: int) -> np.ndarray:
+        """Contexts that pass the divergence test: log likelihood won over the
+        context one symbol shorter, n * KL."""
+        short = (1 << BITS * (depth - 1)) - 1
+        up = np.searchsorted(above.keys, self.keys & ((short << BITS) | (SYMBOLS - 1)))
+        ptotal = above.total[np.searchsorted(above.contexts, self.contexts & short)][self.owner]
+        gain = np.bincount(self.owner, minlength=len(self.contexts), weights=self.n * np.log(
+            self.n * ptotal / (self.total[self.owner] * above.n[up])))
+        return (gain >= min_gain) & (self.total >= min_count)
+
+    def smoothed(self, grams: np.ndarray, depth: int, kept: np.ndarray,
+                 before: np.ndarray) -> np.ndarray:
+        """Probabilities of the grams' last symbols: those of the retained
+        contexts, elsewhere those ``before``."""
+        if not len(self.contexts):
+            return before
+        context = (grams >> BITS) & ((1 << BITS * depth) - 1)
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        here = (self.contexts[at] == context) & kept[at]
+        key = grams & ((1 << BITS * (depth + 1)) - 1)
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        n = np.where(self.keys[k] == key, self.n[k], 0.0)
+        weight = np.maximum(self.seen[at], 1)
+        return np.where(here, (n + weight * before) / (self.total[at] + weight), before)
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, lo: int, hi: int) -> dict[int, Level]:
+    return {d: Level(keys & ((1 << BITS * (d + 1)) - 1), n) for d in range(lo, hi + 1)}
+
+
+def _retained(levels: dict[int, Level], above: Level | None, lo: int, hi: int, below: np.ndarray,
+              min_gain: float, min_count: int) -> dict[int, np.ndarray]:
+    """Contexts of depths ``lo`` to ``hi`` that pass, or have a longer one that
+    does; ``below`` are the contexts of depth ``hi`` that have one."""
+    out = {}
+    for d in range(hi, lo - 1, -1):
+        parent = levels.get(d - 1, above)
+        kept = np.isin(levels[d].contexts, below)
+        kept |= levels[d].passing(parent, d, min_gain, min_count) if d else True
+        out[d] = kept
+        below = levels[d].contexts[kept] & ((1 << BITS * max(d - 1, 0)) - 1)
+    return out
+
+
+def _tester(near: Level, min_gain: float, min_count: int):
+    """``context, depth, n``: contexts of NEAR symbols with longer ones that
+    are retained, and the number of these by depth."""
+    def test(batches):
+        for _, grams, n, _ in _by_bucket(batches):
+            levels = _levels(grams, n, NEAR + 1, DEPTH)
+            kept = _retained(levels, near, NEAR + 1, DEPTH, np.zeros(0, np.int64),
+                             min_gain, min_count)
+            for d, level in levels.items():
+                context, n_kept = np.unique(
+                    level.contexts[kept[d]] & ((1 << BITS * NEAR) - 1), return_counts=True)
+                yield pd.DataFrame({"context": context, "depth": d, "n": n_kept})
+    return test
+
+
+def _by_bucket(batches):
+    """(bucket, grams, counts, requests) of rows sorted by bucket and ``chunk``;
+    the learned grams of a bucket come first, with chunk -1, and are given
+    before its requests, a frame at a time (None once, without any)."""
+    bucket, grams, n, given = None, [], [], False
+
+    def learned():
+        return (bucket, np.concatenate([*grams, np.zeros(0, np.int64)]).astype(np.int64),
+                np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))
+    for b in batches:
+        starts = group_starts(b, ["bucket"])
+        for s, e in zip(starts[:-1], starts[1:]):
+            f = b.iloc[s:e]
+            if f["bucket"].iloc[0] != bucket:
+                if bucket is not None and not given:
+                    yield (*learned(), None)
+                bucket, grams, n, given = f["bucket"].iloc[0], [], [], False
+            own = (f["chunk"] < 0).to_numpy()
+            grams += list(f["grams"][own])
+            n += list(f["n"][own])
+            if not own.all():
+                if not given:
+                    now = learned()
+                yield (*now, f[~own])
+                given = True
+    if bucket is not None and not given:
+        yield (*learned(), None)
+
+
+def _answerer(near: Level, lowest: np.ndarray, min_gain: float, min_count: int):
+    """log10 probabilities of requested grams, in the order of the request."""
+    def answer(batches):
+        last = None
+        for bucket, grams, n, asked in _by_bucket(batches):
+            if asked is None:
+                continue
+            if bucket != last:
+                levels = _levels(grams, n, NEAR + 1, DEPTH)
+                kept = _retained(levels, near, NEAR + 1, DEPTH, np.zeros(0, np.int64),
+                                 min_gain, min_count)
+                last = bucket
+            wanted = [_unspell(x) for x in asked["ask"]]
+            ask = np.concatenate(wanted)
+            p = lowest[ask & ((1 << BITS * (NEAR + 1)) - 1)]
+            for d, level in levels.items():
+                p = level.smoothed(ask, d, kept[d], p)
+            logs = np.split(np.log10(p).astype(np.float32), np.cumsum([len(w) for w in wanted])[:-1])
+            yield pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"],
+                                "piece": asked["piece"], "logs": [x.tobytes() for x in logs]})
+    return answer
+
+
+def _spell(grams: np.ndarray) -> bytes:
+    """Sorted grams as differences, byte by byte: high bytes are mostly zero."""
+    return np.diff(grams, prepend=0).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def _unspell(spelled: bytes) -> np.ndarray:
+    low = np.frombuffer(spelled, dtype=np.uint8).reshape(5, -1)
+    out = np.zeros((low.shape[1], 8), dtype=np.uint8)
+    out[:, :5] = low.T
+    return np.cumsum(out.view(np.int64).ravel())
+
+
+def _adder():
+    """``row, score`` out of a chunk's symbols and the answers to its requests,
+    sorted by chunk, bucket and piece, the symbols (bucket -1) first."""
+    def total(symbols, lengths, row, buckets, answers):
+        symbols, at, ends = _padded(np.frombuffer(symbols, np.uint8), np.asarray(lengths, np.int64))
+        grams, inverse = np.unique(_grams(symbols, at), return_inverse=True)
+        order = np.argsort(_bucket(grams, buckets), kind="stable")
+        logs = np.empty(len(grams))
+        logs[order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
+        value = np.zeros(len(symbols))
+        value[at] = logs[inverse]
+        value[symbols == 1] -= log10(0x110000)
+        score = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
+        return pd.DataFrame({"row": np.arange(row, row + len(score)), "score": score})
+
+    def add(batches):
+        held, answers = None, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.bucket < 0:
+                    if held is not None:
+                        yield total(*held, answers)
+                    held, answers = (r.symbols, r.lengths, r.row, r.buckets), []
+                else:
+                    answers.append(r.logs)
+        if held is not None:
+            yield total(*held, answers)
+    return add
 
 
 # ---- the operator ---------------------------------------------------------
 
-def _scorer(tree: Tree, heavy: dict[bytes, int]):
-    logs = {w: log10(n + 1) for w, n in heavy.items()}
+WORK = ("row long, doc_id long, n_tokens long, known long, base double, rare array<binary>, "
+        "times array<int>, chunk long, symbols binary, lengths array<int>, buckets int, "
+        "bucket int, piece int, ask binary")
 
-    def score(batches):
+
+def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
+    """Rows of three kinds: word figures of each text; a chunk of texts as
+    symbols; the distinct grams of a chunk, by bucket."""
+    logs = {w: log10(n + 1) for w, n in heavy.items()}
+    names = [c.split()[0] for c in WORK.split(", ")]
+
+    def frame(**columns):
+        n = len(next(iter(columns.values())))
+        return pd.DataFrame({c: pd.Series(list(columns.get(c, [None] * n)), dtype=object)
+                             for c in names})
+
+    def whole(row, texts):
+        symbols, lengths = _packed(texts, table)
+        yield frame(row=[row], chunk=[row], symbols=[symbols.tobytes()], lengths=[lengths],
+                    buckets=[buckets])
+        padded, at, _ = _padded(symbols, lengths)
+        grams = np.unique(_grams(padded, at))
+        where = _bucket(grams, buckets)
+        order = np.argsort(where, kind="stable")
+        grams, where = grams[order], where[order]
+        out = []
+        starts = np.flatnonzero(np.diff(where, prepend=-1))
+        for s, e in zip(starts, np.append(starts[1:], len(where))):
+            out += [(int(where[s]), k, _spell(grams[i:min(i + PIECE, e)]))
+                    for k, i in enumerate(range(s, e, PIECE))]
+        yield frame(chunk=[row] * len(out), bucket=[x[0] for x in out], piece=[x[1] for x in out],
+                    ask=[x[2] for x in out])
+
+    def prepare(batches):
         row = TaskContext.get().partitionId() << 40
+        held, size, first = [], 0, row
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             total, known, base, rare, times = [], [], [], [], []
@@ -239,17 +373,24 @@ def _scorer(tree: Tree, heavy: dict[bytes, int]):
                 base.append(own)
                 rare.append(other)
                 times.append([seen[w] for w in other])
-            yield pd.DataFrame({
-                "row": np.arange(row, row + len(b)), "doc_id": b["doc_id"], "n_tokens": total,
-                "known": known, "base": base, "score": tree.score(texts), "rare": rare,
-                "times": times})
+            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
+            yield frame(row=np.arange(row, row + len(b)), doc_id=ids,
+                        n_tokens=total, known=known, base=base, rare=rare, times=times)
+            for t in texts:
+                if held and size + len(t) > CHUNK:
+                    yield from whole(first, held)
+                    first, held, size = first + len(held), [], 0
+                held.append(t)
+                size += len(t) + DEPTH + 1
             row += len(b)
-    return score
+        if held:
+            yield from whole(first, held)
+    return prepare
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
-                    min_gain: float = 4.0, min_count: int = 4, max_states: int = 80_000,
-                    heavy: int = 1 << 16) -> DataFrame:
+                    min_gain: float = 4.0, min_count: int = 4,
+                    heavy: int = 1 << 16, bucket_grams: int = 300_000) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of ``docs``.
 
     ``learn`` has the learning texts; the base is the smoothed word unigram
@@ -264,7 +405,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     frequent = counts.where(F.col("char") >= 0).orderBy(F.desc("n"), "char").limit(SYMBOLS - 2)
     table = np.ones(0x110000, dtype=np.uint8)
-    table[ord(PAD)] = table[ord(END)] = 0
     for i, r in enumerate(frequent.select("char").collect()):
         table[r[0]] = i + 2
     table[65:91] = table[97:123]
@@ -272,15 +412,56 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     grams = materialize(
         spark, learn.mapInPandas(_gram_counter(table), "gram long, n long")
         .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    states = retained_states(spark, grams, min_gain, min_count, max_states)
-    tree = Tree(table, states.toArrow())                        # bounded by max_states
+    buckets = max(16, -(-grams.count() // bucket_grams))
+    learned = materialize(
+        spark, grams.select(_bucket_column(buckets).alias("bucket"), "gram", "n",
+                            F.pmod(F.xxhash64("gram"), F.lit(128)).alias("sub"))
+        .groupBy("bucket", "sub").agg(F.collect_list("gram").alias("grams"),
+                                      F.collect_list("n").alias("n"))
+        .select("bucket", F.lit(-1).cast("long").alias("chunk"), "grams", "n"), "learned")
+
+    # contexts of up to NEAR symbols: bounded by the alphabet, not by the texts
+    near = grams.groupBy(F.col("gram").bitwiseAND(F.lit(SYMBOLS ** (NEAR + 1) - 1)).alias("key")) \
+        .agg(F.sum("n").alias("n")).toArrow()
+    levels = _levels(near.column("key").to_numpy().astype(np.int64),
+                     near.column("n").to_numpy().astype(np.int64), 0, NEAR)
+    below = (learned.repartition("bucket").sortWithinPartitions("bucket")
+             .mapInPandas(_tester(levels[NEAR], min_gain, min_count),
+                          "context long, depth int, n long")
+             .groupBy("context").agg(F.sum("n").alias("n")).toArrow())
+    kept = _retained(levels, None, 0, NEAR, below.column("context").to_numpy().astype(np.int64),
+                     min_gain, min_count)
+    lowest = np.full(SYMBOLS ** (NEAR + 1), 1 / SYMBOLS)
+    for d, level in levels.items():
+        lowest = level.smoothed(np.arange(len(lowest)), d, kept[d], lowest)
+
     top = (words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(heavy)
            .collect())                                          # bounded by heavy
-    scored = materialize(
+    work = materialize(
         spark, docs.mapInPandas(
-            _scorer(tree, {bytes(r[0]): r[1] for r in top}),
-            "row long, doc_id long, n_tokens long, known long, base double, score double, "
-            "rare array<binary>, times array<int>"), "scored")
+            _preparer(table, {bytes(r[0]): r[1] for r in top}, buckets), WORK), "work")
+    scored = work.where(F.col("chunk").isNull())
+    asked = work.where(F.col("ask").isNotNull()).select("bucket", "chunk", "piece", "ask")
+    whole = work.where(F.col("symbols").isNotNull())
+    # a bucket's table goes to as many tasks as its requests need
+    splits = max(1, -(-whole.count() // 256))
+    part = F.pmod(F.xxhash64("chunk"), F.lit(splits)).cast("int")
+    both = asked.withColumn("split", part).unionByName(
+        learned.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))),
+        allowMissingColumns=True)
+    answers = (both.withColumn("bucket", F.col("bucket") + F.col("split") * F.lit(buckets))
+               .repartition("bucket").sortWithinPartitions("bucket", "chunk")
+               .select("bucket", "chunk", "piece", "ask", "grams", "n")
+               .mapInPandas(_answerer(levels[NEAR], lowest, min_gain, min_count),
+                            "chunk long, bucket int, piece int, logs binary")
+               .withColumn("bucket", F.pmod("bucket", F.lit(buckets))))
+    scores = materialize(
+        spark, whole.select("chunk", F.lit(-1).alias("bucket"), "row", "symbols", "lengths",
+                            "buckets")
+        .unionByName(answers, allowMissingColumns=True)
+        .repartition("chunk").sortWithinPartitions("chunk", "bucket", "piece")
+        .select("bucket", "row", "symbols", "lengths", "buckets", "logs")
+        .mapInPandas(_adder(), "row long, score double"), "scores")
 
     rest = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
             .select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
@@ -288,7 +469,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
             .groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest"),
                                 F.sum("times").alias("found")))
     norm = log10(n_all + v_all + 1)
-    return (scored.drop("rare", "times").join(rest, "row", "left")
+    return (scored.select("row", "doc_id", "n_tokens", "known", "base").join(scores, "row")
+            .join(rest, "row", "left")
             .select("doc_id", "n_tokens",
                     (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
                     F.lit(int(n_all)).cast("long").alias("train_tokens"),
