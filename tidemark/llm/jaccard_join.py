@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, python_tasks
@@ -88,7 +88,7 @@ def _sketcher(n: int):
                 sizes += [len(s) for s in sets]
                 sigs += [row.tobytes() for row in sig]
                 keys += [k if len(s) else k[:0] for k, s in zip(_band_keys(sig), sets)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": names, "n_shingles": sizes,
+            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": b["copy"], "node": names, "n_shingles": sizes,
                                 "sig": sigs, "keys": keys})
     return sketch
 
@@ -234,27 +234,33 @@ def _shingler(n: int):
         for b in batches:
             names, sets = [], []
             for node, s in zip(b["node"], shingle_sets([t or "" for t in b["text"]], n)):
-                if set_name(s) == bytes(node):        # another text under the same id: not it
+                if set_name(s) == bytes(node):        # a text of another hash: not it
                     names.append(bytes(node))
                     sets.append(s.tobytes())
             yield pd.DataFrame({"node": names, "shingles": sets})
     return cut
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float = 0.8,
-                      tolerance: float = 1e-6, step: int = 16, block: int = 1024) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, n_text_links, class_docs``.
+def text_hash() -> Column:
+    """Names the text of a row; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
-    ``n_links`` counts the other documents whose similarity is ``threshold``
-    or more, ``n_text_links`` the other shingle sets; a class is a connected
-    group of links, named by its smallest document id.
-    """
+
+def _classes(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float = 0.8,
+             tolerance: float = 1e-6, step: int = 16,
+             block: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows as (doc_id, copy, node), nodes with their component and links, and
+    components with their smallest id, first row and number of documents."""
     python_tasks(spark)
-    sketch = materialize(spark, docs.select("doc_id", "text").mapInPandas(
-        _sketcher(n), "doc_id long, node binary, n_shingles int, sig binary, keys array<long>"),
-        "sketch")
+    # ids as text: nulls among numbers would make them floating-point in the task
+    sketch = materialize(spark, docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), text_hash().alias("copy"), "text")
+        .mapInPandas(_sketcher(n), "doc_id string, copy binary, node binary, n_shingles int, "
+                     "sig binary, keys array<long>")
+        .withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")
     nodes = materialize(spark, sketch.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"),
+        F.min(row).alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"),
         F.min("keys").alias("keys")), "nodes")
 
     # buckets of two or more nodes, one for all with the same members
@@ -280,7 +286,9 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, threshol
 
     # texts of what is left, then the exact check
     wanted = left.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = (docs.select("doc_id", "text", text_hash().alias("copy"))
+             .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
+                   & (F.col("copy") == F.col("rep.copy")))
              .select("node", "text")
              .mapInPandas(_shingler(n), "node binary, shingles binary").dropDuplicates(["node"]))
     full = texts.join(nodes.select("node", "sig", "copies"), "node")
@@ -298,24 +306,35 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, threshol
     each = (nodes.select("node", "rep", "copies").join(parts, "node", "left")
             .join(linked, "node", "left")
             .withColumn("component", F.coalesce("component", "node")))
-    classes = each.groupBy("component").agg(F.min("rep").alias("class_id"),
+    classes = each.groupBy("component").agg(F.min("rep").alias("first"),
                                             F.sum("copies").alias("class_docs"))
+    return sketch.select("doc_id", "copy", "node"), each, classes
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links, n_text_links, class_docs``.
+
+    ``n_links`` counts the other documents whose similarity is ``threshold``
+    or more, ``n_text_links`` the other shingle sets; a class is a connected
+    group of links, named by its smallest document id.
+    """
+    rows, each, classes = _classes(spark, docs, **options)
     info = each.join(classes, "component").select(
-        "node", "class_id", "class_docs",
+        "node", F.col("first.doc_id").alias("class_id"), "class_docs",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("node_links", F.lit(0)).alias("n_text_links"))
-    return sketch.select("doc_id", "node").join(info, "node").select(
+    return rows.select("doc_id", "node").join(info, "node").select(
         "doc_id", "class_id", "n_links", "n_text_links", "class_docs")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents of a class but its smallest id.
-
-    Rows without id are kept only where their class has no id at all; of
-    repeated rows with the same id one stays.  Columns are those of ``docs``.
+    """``docs`` without the rows of a class but one: that of the smallest id,
+    or any if its class has no id at all; of several texts under that id the one
+    of the smallest hash.  Columns are those of ``docs``.
     """
-    kept = (similar_documents(spark, docs, **options)
-            .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = _classes(spark, docs, **options)[2].select(
+        F.col("first.doc_id").alias("_kept"), F.col("first.copy").alias("_of"))
+    return (docs.withColumn("_copy", text_hash())
+            .join(first, F.col("doc_id").eqNullSafe(F.col("_kept"))
+                  & (F.col("_copy") == F.col("_of")), "left_semi")
+            .dropDuplicates(["doc_id", "_copy"]).drop("_copy"))
