@@ -18,8 +18,9 @@ rows holding the same item is a partial aggregate per task.
 
 Defined results: null texts and texts of fewer than five words have no
 shingles, and so do items: they never match.  Rows that share a ``doc_id``
-(or have none) are one document, the union of their shingles; repeated items
-of one id likewise.  Other columns are ignored.
+(or have none) are one document in ``contaminated``, the union of their
+shingles; repeated items of one id likewise.  ``drop_contaminated`` judges each
+row by its own text.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +106,15 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
                       **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = (contaminated(spark, docs, benchmark, **options)
-           .select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Rows are judged one by one, by id and text: those that share an id or have
+    none do not share what they hold.
+    """
+    key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                    F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn("_key", key)
+    bad = (contaminated(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark,
+                        **options)
+           .select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
