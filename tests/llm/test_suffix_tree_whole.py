@@ -11,7 +11,7 @@ from tidemark.llm import suffix_tree
 DOCS = "doc_id long, text string"
 
 
-def brute_force(learn, copies, ask, min_gain=4.0, min_count=4, depth=5, symbols=64):
+def brute_force(learn, copies, ask, min_gain=4.0, depth=5, symbols=64):
     """Scores, and the number of retained contexts, of texts of at most 62 letters."""
     nexts = collections.defaultdict(collections.Counter)
     for t in learn:
@@ -22,7 +22,7 @@ def brute_force(learn, copies, ask, min_gain=4.0, min_count=4, depth=5, symbols=
     total = {c: sum(x.values()) for c, x in nexts.items()}
     kept = {""}
     for c, x in nexts.items():
-        if c and total[c] >= min_count and sum(n * math.log(
+        if c and sum(n * math.log(
                 n * total[c[1:]] / (total[c] * nexts[c[1:]][a])) for a, n in x.items()) >= min_gain:
             kept |= {c[i:] for i in range(len(c) + 1)}
 
@@ -52,3 +52,11 @@ def test_all_passing_contexts_are_kept(spark):
     df = spark.createDataFrame(list(enumerate(ask)), DOCS)
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, learn).collect()}
     assert [got[i] for i in range(len(ask))] == pytest.approx(want, rel=1e-5)
+
+
+def test_rare_contexts_are_tested_too(spark):
+    texts = ["the cat sat on the mat " * 40, "xq" * 3, "zebra quartz", "jq"]
+    want, _ = brute_force(texts, 1, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, df).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)

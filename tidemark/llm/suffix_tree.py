@@ -3,11 +3,10 @@
 The tree's states are contexts of 0 to ``DEPTH`` characters (A-Z lower-cased;
 text boundaries are a symbol).  A context stays if its next-symbol
 distribution diverges enough from that of the context one character shorter:
-n * KL >= ``min_gain`` nats, n its number of occurrences, which is ``min_count``
-or more; so do all shorter contexts of one that stays.  There is no limit to
-their number.  A
-state's distribution is smoothed with its parent's (Witten-Bell: as much
-weight as the state has seen different symbols), down to the uniform one.  A
+n * KL >= ``min_gain`` nats, n its number of occurrences; so do all shorter
+contexts of one that stays.  There is no limit to their number.  A state's
+distribution is smoothed with its parent's (Witten-Bell: as much weight as the
+state has seen different symbols), down to the uniform one.  A
 character is scored in the state of the longest retained suffix of the text
 before it; a text's score is the sum of log10 probabilities of its characters
 and its end, a probability over all texts.
@@ -30,6 +29,7 @@ most frequent share one symbol and are equally likely within it.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from math import log10
 
@@ -48,7 +48,7 @@ SYMBOLS = 1 << BITS                     # 0: text boundary, 1: any other charact
 NEAR = 2                                # depth up to which all contexts are known everywhere
 SPREAD = 2654435761
 MANY = 300_000                          # entries a counting task holds before it passes them on
-CHUNK = 3_000_000                       # characters whose grams are asked for at once
+CHUNK = 8_000_000                       # characters whose grams are asked for at once
 PIECE = 16_384                          # grams of a request
 
 
@@ -86,6 +86,23 @@ def _grams(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return gram
 
 
+def _runs(symbols: np.ndarray, lengths: np.ndarray, most: int = 500_000):
+    """The padded symbols of the texts, some at a time."""
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    lo = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+        hi = min(hi, lo + most // DEPTH, len(lengths))
+        yield _padded(symbols[first[lo]:first[hi]], lengths[lo:hi])
+        lo = hi
+
+
+def _distinct(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sorted distinct grams of the texts."""
+    return np.unique(np.concatenate([np.unique(_grams(padded, at))
+                                     for padded, at, _ in _runs(symbols, lengths)]))
+
+
 # ---- counting -------------------------------------------------------------
 
 def _count_words(batches):
@@ -163,7 +180,7 @@ class Level:
         self.total = np.bincount(self.owner, weights=self.n, minlength=len(self.contexts))
         self.seen = np.bincount(self.owner, minlength=len(self.contexts))
 
-    def passing(self, above: Level, depth: int, min_gain: float, min_count: int) -> np.ndarray:
+    def passing(self, above: Level, depth: int, min_gain: float) -> np.ndarray:
         """Contexts that pass the divergence test: log likelihood won over the
         context one symbol shorter, n * KL."""
         short = (1 << BITS * (depth - 1)) - 1
@@ -171,7 +188,7 @@ class Level:
         ptotal = above.total[np.searchsorted(above.contexts, self.contexts & short)][self.owner]
         gain = np.bincount(self.owner, minlength=len(self.contexts), weights=self.n * np.log(
             self.n * ptotal / (self.total[self.owner] * above.n[up])))
-        return (gain >= min_gain) & (self.total >= min_count)
+        return gain >= min_gain
 
     def smoothed(self, grams: np.ndarray, depth: int, kept: np.ndarray,
                  before: np.ndarray) -> np.ndarray:
@@ -194,27 +211,27 @@ def _levels(keys: np.ndarray, n: np.ndarray, lo: int, hi: int) -> dict[int, Leve
 
 
 def _retained(levels: dict[int, Level], above: Level | None, lo: int, hi: int, below: np.ndarray,
-              min_gain: float, min_count: int) -> dict[int, np.ndarray]:
+              min_gain: float) -> dict[int, np.ndarray]:
     """Contexts of depths ``lo`` to ``hi`` that pass, or have a longer one that
     does; ``below`` are the contexts of depth ``hi`` that have one."""
     out = {}
     for d in range(hi, lo - 1, -1):
         parent = levels.get(d - 1, above)
         kept = np.isin(levels[d].contexts, below)
-        kept |= levels[d].passing(parent, d, min_gain, min_count) if d else True
+        kept |= levels[d].passing(parent, d, min_gain) if d else True
         out[d] = kept
         below = levels[d].contexts[kept] & ((1 << BITS * max(d - 1, 0)) - 1)
     return out
 
 
-def _tester(near: Level, min_gain: float, min_count: int):
+def _tester(near: Level, min_gain: float):
     """``context, depth, n``: contexts of NEAR symbols with longer ones that
     are retained, and the number of these by depth."""
     def test(batches):
         for _, grams, n, _ in _by_bucket(batches):
             levels = _levels(grams, n, NEAR + 1, DEPTH)
             kept = _retained(levels, near, NEAR + 1, DEPTH, np.zeros(0, np.int64),
-                             min_gain, min_count)
+                             min_gain)
             for d, level in levels.items():
                 context, n_kept = np.unique(
                     level.contexts[kept[d]] & ((1 << BITS * NEAR) - 1), return_counts=True)
@@ -251,7 +268,7 @@ def _by_bucket(batches):
         yield (*learned(), None)
 
 
-def _answerer(near: Level, lowest: np.ndarray, min_gain: float, min_count: int):
+def _answerer(near: Level, lowest: np.ndarray, min_gain: float):
     """log10 probabilities of requested grams, in the order of the request."""
     def answer(batches):
         last = None
@@ -261,16 +278,19 @@ def _answerer(near: Level, lowest: np.ndarray, min_gain: float, min_count: int):
             if bucket != last:
                 levels = _levels(grams, n, NEAR + 1, DEPTH)
                 kept = _retained(levels, near, NEAR + 1, DEPTH, np.zeros(0, np.int64),
-                                 min_gain, min_count)
+                                 min_gain)
                 last = bucket
-            wanted = [_unspell(x) for x in asked["ask"]]
-            ask = np.concatenate(wanted)
-            p = lowest[ask & ((1 << BITS * (NEAR + 1)) - 1)]
-            for d, level in levels.items():
-                p = level.smoothed(ask, d, kept[d], p)
-            logs = np.split(np.log10(p).astype(np.float32), np.cumsum([len(w) for w in wanted])[:-1])
-            yield pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"],
-                                "piece": asked["piece"], "logs": [x.tobytes() for x in logs]})
+            for lo in range(0, len(asked), 8):             # bounds the arrays below
+                part = asked.iloc[lo:lo + 8]
+                wanted = [_unspell(x) for x in part["ask"]]
+                ask = np.concatenate(wanted)
+                p = lowest[ask & ((1 << BITS * (NEAR + 1)) - 1)]
+                for d, level in levels.items():
+                    p = level.smoothed(ask, d, kept[d], p)
+                logs = np.split(np.log10(p).astype(np.float32),
+                                np.cumsum([len(w) for w in wanted])[:-1])
+                yield pd.DataFrame({"chunk": part["chunk"], "bucket": part["bucket"],
+                                    "piece": part["piece"], "logs": [x.tobytes() for x in logs]})
     return answer
 
 
@@ -290,15 +310,20 @@ def _adder():
     """``row, score`` out of a chunk's symbols and the answers to its requests,
     sorted by chunk, bucket and piece, the symbols (bucket -1) first."""
     def total(symbols, lengths, row, buckets, answers):
-        symbols, at, ends = _padded(np.frombuffer(symbols, np.uint8), np.asarray(lengths, np.int64))
-        grams, inverse = np.unique(_grams(symbols, at), return_inverse=True)
+        symbols = np.frombuffer(zlib.decompress(symbols), np.uint8)
+        lengths = np.asarray(lengths, np.int64)
+        grams = _distinct(symbols, lengths)
         order = np.argsort(_bucket(grams, buckets), kind="stable")
         logs = np.empty(len(grams))
         logs[order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
-        value = np.zeros(len(symbols))
-        value[at] = logs[inverse]
-        value[symbols == 1] -= log10(0x110000)
-        score = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
+        scores = []
+        for padded, at, ends in _runs(symbols, lengths):
+            own, inverse = np.unique(_grams(padded, at), return_inverse=True)
+            value = np.zeros(len(padded))
+            value[at] = logs[np.searchsorted(grams, own)][inverse]
+            value[padded == 1] -= log10(0x110000)
+            scores.append(np.add.reduceat(value, np.concatenate([[0], ends[:-1]])))
+        score = np.concatenate(scores)
         return pd.DataFrame({"row": np.arange(row, row + len(score)), "score": score})
 
     def add(batches):
@@ -336,10 +361,9 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
 
     def whole(row, texts):
         symbols, lengths = _packed(texts, table)
-        yield frame(row=[row], chunk=[row], symbols=[symbols.tobytes()], lengths=[lengths],
+        yield frame(row=[row], chunk=[row], symbols=[zlib.compress(symbols.tobytes(), 1)], lengths=[lengths],
                     buckets=[buckets])
-        padded, at, _ = _padded(symbols, lengths)
-        grams = np.unique(_grams(padded, at))
+        grams = _distinct(symbols, lengths)
         where = _bucket(grams, buckets)
         order = np.argsort(where, kind="stable")
         grams, where = grams[order], where[order]
@@ -389,8 +413,8 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
-                    min_gain: float = 4.0, min_count: int = 4,
-                    heavy: int = 1 << 16, bucket_grams: int = 300_000) -> DataFrame:
+                    min_gain: float = 4.0, heavy: int = 1 << 16,
+                    bucket_grams: int = 100_000) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of ``docs``.
 
     ``learn`` has the learning texts; the base is the smoothed word unigram
@@ -426,11 +450,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     levels = _levels(near.column("key").to_numpy().astype(np.int64),
                      near.column("n").to_numpy().astype(np.int64), 0, NEAR)
     below = (learned.repartition("bucket").sortWithinPartitions("bucket")
-             .mapInPandas(_tester(levels[NEAR], min_gain, min_count),
+             .mapInPandas(_tester(levels[NEAR], min_gain),
                           "context long, depth int, n long")
              .groupBy("context").agg(F.sum("n").alias("n")).toArrow())
     kept = _retained(levels, None, 0, NEAR, below.column("context").to_numpy().astype(np.int64),
-                     min_gain, min_count)
+                     min_gain)
     lowest = np.full(SYMBOLS ** (NEAR + 1), 1 / SYMBOLS)
     for d, level in levels.items():
         lowest = level.smoothed(np.arange(len(lowest)), d, kept[d], lowest)
@@ -452,7 +476,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     answers = (both.withColumn("bucket", F.col("bucket") + F.col("split") * F.lit(buckets))
                .repartition("bucket").sortWithinPartitions("bucket", "chunk")
                .select("bucket", "chunk", "piece", "ask", "grams", "n")
-               .mapInPandas(_answerer(levels[NEAR], lowest, min_gain, min_count),
+               .mapInPandas(_answerer(levels[NEAR], lowest, min_gain),
                             "chunk long, bucket int, piece int, logs binary")
                .withColumn("bucket", F.pmod("bucket", F.lit(buckets))))
     scores = materialize(
