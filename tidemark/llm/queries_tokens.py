@@ -1,13 +1,15 @@
-"""Query op6."""
+"""Queries op6 and op12."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.llm import bpe_codec
 from tidemark.llm.common import table
 from tidemark.llm.sentencepiece_codec import Vocabulary, decode_ids, encode_texts
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+BPE_FILE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def encoded_documents(spark, docs, model_file: str = MODEL_FILE):
@@ -23,5 +25,15 @@ def op6_sentencepiece_codec(spark, sf_dir):
     return encoded_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_sentencepiece_codec,)}
+def op12_bpe_codec(spark, sf_dir, file: str = BPE_FILE):
+    vocabulary = bpe_codec.BpeVocabulary(file)
+    coded = bpe_codec.encode_texts(
+        spark, table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return bpe_codec.decode_ids(spark, coded.drop("text"), vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op6_sentencepiece_codec, op12_bpe_codec)}
 ORACLE: dict[str, str] = {}
