@@ -9,8 +9,9 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF0001, SF001
 from scripts.check_oracle import TABLES, digest
+from tidemark.plans.catalog import ORACLE, QUERIES
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(QUERIES)            # an optional part brings its own tests
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(KEYS)
+    assert set(ORACLE) == set(KEYS)
+    assert set(KEYS) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
