@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helpers import events_df, users_df
 from tidemark.operators import incremental as I
 from tidemark.operators import quality as Q
+from tidemark.operators.event_table import EventTable
 
 
 def _ids(df):
@@ -78,7 +79,7 @@ def test_replay_in_batches_equals_full_refresh(spark, tmp_table):
     for k in range(0, 12, 4):
         I.load_events(spark, tmp_table, users, events_df(spark, rows[k:k + 4]))
     full = I.merge_events(None, users, events_df(spark, rows))
-    got = spark.read.parquet(tmp_table)
+    got = EventTable(spark, tmp_table).read()
     cols = ["event_id", "event_timestamp", "region"]
     assert sorted(map(tuple, got.select(*cols).collect())) == \
         sorted(map(tuple, full.select(*cols).collect()))

@@ -75,7 +75,7 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     base = scratch_path(spark, "test_stream")
     SQ.event_fact_stream(SQ.read_stream(spark, src, schema, max_files_per_trigger=1), users,
                          f"{base}/t", f"{base}/c")
-    got = spark.read.parquet(f"{base}/t")
+    got = SQ.read_result(spark, f"{base}/t", keyed=False)
     full = I.merge_events(None, users, events_df(spark, rows))
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in full.collect())
 

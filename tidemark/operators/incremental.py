@@ -1,8 +1,7 @@
 """Incremental, keyed loads of the event fact.
 
-``merge_events`` is the pure, lazy part (target, source -> new target); the
-``load_*`` functions write it to a table partitioned by ``event_date``,
-replacing only the partitions that change (dynamic partition overwrite).
+``merge_events`` is the pure, lazy part (target, source -> new target);
+``load_events`` applies a run to the table of ``event_table``.
 
 Modes
   strict    parity with a high-water-mark model: only rows strictly newer than
@@ -22,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import ntz_lit
-from tidemark.sources.sinks import table_exists
 from tidemark.operators.marts import FCT_EVENT_COLUMNS, fct_user_events
 
 
@@ -90,35 +88,8 @@ def merge_events(target: DataFrame | None, users: DataFrame, events: DataFrame,
 
 def load_events(spark: SparkSession, path: str, users: DataFrame, events: DataFrame,
                 mode: str = "strict", lookback_days: int = 3) -> DataFrame:
-    """Apply one incremental run to the Parquet table at ``path``.
-
-    Only the event_date partitions that receive rows or lose a replaced row
-    are rewritten.  Their new content is checkpointed to the shared
-    checkpoint folder first (Spark cannot overwrite files it is reading, and
-    the checkpoint also cuts the lineage so a lost executor recomputes from
-    it, not from the old files)."""
-    if not table_exists(spark, path):
-        full = fct_user_events(users, first_batch(events, mode))
-        full.write.mode("overwrite").partitionBy("event_date").parquet(path)
-        return spark.read.parquet(path)
-    target = spark.read.parquet(path)
-    hwm = None if mode == "keyed" else high_water_mark(target)
-    batch = fct_user_events(users, select_batch(events, hwm, mode, lookback_days))
-    batch = batch.checkpoint(eager=True)
-    ids = batch.select("event_id").distinct()
-    moved_dates = target.join(ids, "event_id", "left_semi").select("event_date")
-    dates = batch.select("event_date").union(moved_dates).distinct()
-    touched = target.join(dates, "event_date", "left_semi")
-    kept = touched.select(*FCT_EVENT_COLUMNS).join(ids, "event_id", "left_anti")
-    new_parts = kept.unionByName(batch).checkpoint(eager=True)
-    emptied = dates.join(new_parts.select("event_date").distinct(), "event_date", "left_anti")
-    if emptied.limit(1).count() > 0:
-        # A partition loses all its rows: a dynamic overwrite cannot delete
-        # it, so rewrite the table from a checkpoint of its new content.
-        whole = merge_events(target, users, events, mode, lookback_days).checkpoint(eager=True)
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "static") \
-            .partitionBy("event_date").parquet(path)
-    else:
-        (new_parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("event_date").parquet(path))
-    return spark.read.parquet(path)
+    """Apply one incremental run to the event table at ``path`` and return the
+    table.  Only the dates that receive rows or lose a replaced row are read and
+    written anew, and readers see them all at once (``event_table``)."""
+    from tidemark.operators.event_table import EventTable
+    return EventTable(spark, path).load(users, events, mode, lookback_days)

@@ -43,6 +43,6 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 
 # Importing the query modules fills the registry.
 from tidemark.plans import (  # noqa: E402,F401
-    queries_core, queries_more, queries_revenue, queries_stream,
+    queries_changes, queries_core, queries_more, queries_revenue, queries_stream,
 )
 from tidemark.plans import queries_filtered  # noqa: E402,F401  (reads the oracles above)

@@ -92,6 +92,11 @@ def _as_date(as_of) -> _dt.date:
     return as_of if isinstance(as_of, _dt.date) else _dt.date.fromisoformat(str(as_of))
 
 
+def active_span(as_of) -> tuple[str, str]:
+    """First and last timestamp (as text) that DAU, WAU and MAU look at."""
+    return f"{_as_date(as_of) - _dt.timedelta(days=30)} 00:00:00", "9999-12-31 23:59:59.999999"
+
+
 def kpi_dau_wau_mau(fct_events: DataFrame, as_of) -> DataFrame:
     """Distinct users active yesterday / in the last 7 / 30 days (no upper
     bound, as on the dashboard); ratio = WAU/MAU in percent, 0 if no MAU.

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import scratch_path
+from tidemark.sources.versioned import VersionedTable
 
 
 def sink_view(df: DataFrame, name: str) -> DataFrame:
@@ -14,18 +15,21 @@ def sink_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def sink_table(df: DataFrame, path: str, partition_by: tuple = (),
-               fmt: str = "parquet") -> DataFrame:
-    """Full refresh: replaces the table at the path, then reads it back, so
-    downstream work starts from the files, not the lineage.  The old files go
-    before the new ones are committed: after a failed job there is no table
-    until the job is run again."""
-    # a full refresh replaces every partition (never only the ones written)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-    return df.sparkSession.read.format(fmt).load(path)
+def sink_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Full refresh: writes the table anew beside the old one and switches to
+    it, then reads it back, so downstream work starts from the files, not the
+    lineage.  A job that fails before the switch leaves the old table.  The
+    folders of versions before the last two are deleted."""
+    table = VersionedTable(df.sparkSession, path)
+    table.exists()                       # never writes into a folder of something else
+    out = table.replace(df, column=partition_by)
+    table.vacuum()
+    return out
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by :func:`sink_table`."""
+    return VersionedTable(spark, path).read()
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timeops import add_days
 from tidemark.operators.engagement import FunnelSpec
-from tidemark.operators.incremental import load_events
+from tidemark.operators.event_table import EventTable
 from tidemark.operators.joins import join_dimension
 from tidemark.streaming.sinks import read_upserted, upsert_by_key
 
@@ -48,15 +48,23 @@ def _run(writer, checkpoint: str, processing_time: str | None):
 
 def event_fact_stream(events: DataFrame, users: DataFrame, target: str, checkpoint: str,
                       mode: str = "keyed", lookback_days: int = 3,
-                      processing_time: str | None = None):
+                      processing_time: str | None = None, compact_every: int = 50):
     """I1/I2 as a stream.  By default every event counts, whatever its time and
-    the order of the files: a micro-batch replaces events of the same id, so a
-    retried one changes nothing.  ``strict`` and ``lookback`` drop late rows as
-    the batch loads of that name do."""
-    spark = events.sparkSession
+    the order of the files: a micro-batch is appended to the event table and
+    replaces events of the same id when the table is read; every
+    ``compact_every`` micro-batches the appended ones are folded in.  A retried
+    micro-batch is recognised and changes nothing.  ``strict`` and ``lookback``
+    load each micro-batch as the batch runs of that name do, and drop late rows
+    as they do."""
+    table = EventTable(events.sparkSession, target)
 
     def load(batch: DataFrame, epoch_id: int) -> None:
-        load_events(spark, target, users, batch, mode, lookback_days)
+        if mode != "keyed":
+            table.load(users, batch, mode, lookback_days)
+            return
+        table.append(users, batch, checkpoint, epoch_id)
+        if table.n_deltas() >= compact_every:
+            table.compact()
 
     return _run(events.writeStream.foreachBatch(load), checkpoint, processing_time)
 
@@ -106,6 +114,4 @@ def weekly_signups_stream(users: DataFrame, target: str, checkpoint: str,
 
 
 def read_result(spark: SparkSession, target: str, keyed: bool = True) -> DataFrame:
-    return read_upserted(spark, target) if keyed else spark.read.parquet(target)
-
-
+    return read_upserted(spark, target) if keyed else EventTable(spark, target).read()
