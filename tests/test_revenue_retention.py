@@ -147,3 +147,20 @@ def test_waterfalls_ties_nulls_and_repeats(spark):
         got = {str(r.report_month)[:7]: [int(x) for x in r[1:5]] for r in df.collect()}
         assert got == {m: v for m, v in want.items() if m}, build.__name__
         assert dict(df.dtypes)["churn_mrr"] == "decimal(20,2)"
+
+
+def test_waterfall_months_of_the_data(spark):
+    """Bounds of None: the months in which subscriptions start or end."""
+    from tidemark.operators import revenue as RV
+    subs = subs_df(spark, [
+        ("1", "a", "pro", 29, "2019-05-20 00:00:00", "2035-02-03 00:00:00", "new"),
+        ("2", "b", "enterprise", 99, "2024-01-05 00:00:00", None, "new")])
+    for form in (RV.mrr_waterfall, RV.mrr_waterfall_delta):
+        rows = form(subs, None, None).orderBy("report_month").collect()
+        assert str(rows[0].report_month) == "2019-05-01" and rows[0].new_mrr == 29
+        assert str(rows[-1].report_month) == "2035-02-01" and len(rows) == 190
+        assert sum(r.new_mrr for r in rows) == 128
+        assert form(subs.limit(0), None, None).count() == 0
+        some = form(subs, "2024-01-01", None).orderBy("report_month").collect()
+        assert str(some[0].report_month) == "2024-01-01" and len(some) == 134
+    assert rows[-1].churn_mrr == 29 and rows[-1].ending_mrr == 99

@@ -89,9 +89,12 @@ def date_series(spark: SparkSession, start, end, name: str = "date_day",
                                             F.expr("INTERVAL 1 DAY"))).alias(name))
 
 
-def month_series(spark: SparkSession, first, last, name: str = "report_month") -> DataFrame:
-    """One row per month start in [first, last]."""
-    return spark.range(1).select(
+def month_series(spark: SparkSession, first, last, name: str = "report_month",
+                 bounds: DataFrame | None = None) -> DataFrame:
+    """One row per month start in [first, last]; ``bounds`` as in
+    :func:`date_series`."""
+    base = bounds if bounds is not None else spark.range(1)
+    return base.select(
         F.explode(F.sequence(F.trunc(_bound(first), "MM"), F.trunc(_bound(last), "MM"),
                              F.expr("INTERVAL 1 MONTH"))).alias(name))
 

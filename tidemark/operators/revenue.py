@@ -8,7 +8,7 @@ is found by grouping starts and ends on (user_id, instant), in one exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeops import month_series, trunc_date
@@ -66,8 +66,25 @@ def _end_type(subs: DataFrame) -> str:
     return f"struct<started_at:{types['started_at']},subscription_id:{types['subscription_id']}>"
 
 
-def _spine_join(spark: SparkSession, monthly: DataFrame, first_month, last_month) -> DataFrame:
-    spine = month_series(spark, first_month, last_month, "report_month")
+def month_span(subs: DataFrame) -> DataFrame:
+    """``lo, hi`` (one row): the first and last day on which a subscription
+    starts or ends; null without any."""
+    return subs.agg(
+        F.to_date(F.least(F.min("started_at"), F.min("ended_at"))).alias("lo"),
+        F.to_date(F.greatest(F.max("started_at"), F.max("ended_at"))).alias("hi"))
+
+
+def _spine(subs: DataFrame, first_month, last_month) -> DataFrame:
+    """Months from first to last; a bound that is None is that of the data."""
+    spark = subs.sparkSession
+    if first_month is not None and last_month is not None:
+        return month_series(spark, first_month, last_month, "report_month")
+    return month_series(spark, first_month if first_month is not None else F.col("lo"),
+                        last_month if last_month is not None else F.col("hi"),
+                        "report_month", month_span(subs))
+
+
+def _spine_join(spine: DataFrame, monthly: DataFrame) -> DataFrame:
     measures = ("new_mrr", "expansion_mrr", "contraction_mrr", "churn_mrr")
     # both sides hold one row per month; the monthly aggregate is broadcast
     # (its size is bounded by the months the data spans)
@@ -90,8 +107,8 @@ def mrr_waterfall(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
     row on a paid plan; expansion = the *full* MRR of an expansion row;
     contraction = 0; churn = MRR of the row that ended when the churn row
     started (0 if none); ending = running sum of net from zero.  Changes
-    outside the spine drop out."""
-    spark = subs.sparkSession
+    outside the spine drop out; a spine bound of None is that of the data, so
+    that nothing does."""
     ct, plan = F.col("change_type"), F.col("plan")
     none, month = F.lit(None).cast("decimal(10,2)"), trunc_date("month", "started_at")
     gains = subs.select(
@@ -113,7 +130,7 @@ def mrr_waterfall(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
         F.sum("new_mrr").alias("new_mrr"), F.sum("expansion_mrr").alias("expansion_mrr"),
         F.lit(0).cast("decimal(10,2)").alias("contraction_mrr"),
         F.sum(F.col("lost") * F.col("times")).cast("decimal(20,2)").alias("churn_mrr"))
-    return _spine_join(spark, monthly, first_month, last_month)
+    return _spine_join(_spine(subs, first_month, last_month), monthly)
 
 
 def mrr_waterfall_delta(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
@@ -122,8 +139,7 @@ def mrr_waterfall_delta(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
     (same user, ended when it started).  new = MRR from zero; expansion /
     contraction = the difference; churn = MRR lost going to zero, or at
     ``ended_at`` when nothing follows.  Ending MRR equals active MRR when all
-    changes fall inside the spine."""
-    spark = subs.sparkSession
+    changes fall inside the spine, as they do with bounds of None."""
     # equal amounts of one (user, instant) are counted together first, so what
     # the window sees per instant is its distinct amounts, not its rows
     amounts = _instants(subs).groupBy("user_id", "at", "mrr").agg(
@@ -149,4 +165,4 @@ def mrr_waterfall_delta(subs: DataFrame, first_month=DEFAULT_FIRST_MONTH,
             ("churn_mrr", F.when((prev > 0) & (mrr == 0) & (n > 0), prev * n).otherwise(zero)
              + F.when((F.col("followers") == 0) & (mrr > 0), mrr * F.col("ends"))
              .otherwise(zero)))])
-    return _spine_join(spark, monthly, first_month, last_month)
+    return _spine_join(_spine(subs, first_month, last_month), monthly)

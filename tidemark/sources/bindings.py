@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeops import add_days, add_seconds
 from tidemark.session import scratch_path
 from tidemark.operators.neighbors import with_neighbors
+from tidemark.sources import files
 from tidemark.sources.tables import Tables
 
 # Fixed values of the binding (FIXTURES.md C).
@@ -25,8 +26,7 @@ SIGNUP_SPREAD_DAYS = 28
 ORDER_DATE_SHIFT_DAYS = 10592          # 1995-01-01 -> 2024-01-01
 PLAN_MRR = {"free": 0, "pro": 29, "enterprise": 99}
 AS_OF = "2024-01-31"
-MRR_FIRST_MONTH = "2024-01-01"
-MRR_LAST_MONTH = "2030-08-01"
+MRR_FIRST_MONTH = MRR_LAST_MONTH = None        # the months of the data
 # Region names, and the signup source that stands for none chosen.
 REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 FALLBACK_SOURCE = "AUTOMOBILE"
@@ -110,18 +110,20 @@ _LOCK = threading.Lock()
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subscriptions input, as the table a billing export would be: derived
-    from orders once per session (``derive_subscriptions``), written to the
-    shared checkpoint folder, and read from there by every query."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    from orders (``derive_subscriptions``), written to the shared checkpoint
+    folder, and read from there by every query for as long as the files of
+    orders are the same."""
+    orders = f"{sf_dir.rstrip('/')}/orders.parquet"
+    key = (spark.sparkContext.applicationId, orders)
+    state = files.fingerprint(spark, orders)
     with _LOCK:
         hit = _MATERIALIZED.get(key)
-        if hit is None:
+        if hit is None or hit[0] != state:
             path = scratch_path(spark, "binding_subscriptions")
             derived = derive_subscriptions(spark, sf_dir)
             derived.write.parquet(path)
-            hit = _MATERIALIZED[key] = (path, derived.schema)
-    path, schema = hit
-    return spark.read.schema(schema).parquet(path)
+            hit = _MATERIALIZED[key] = (state, path, derived.schema)
+    return spark.read.schema(hit[2]).parquet(hit[1])
 
 
 def derive_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,77 @@ CONTRACTS: dict[str, T.StructType] = {
 }
 
 
+def _fits(column, to: T.DataType):
+    """The value as ``to``, null if it does not fit."""
+    return F.col(column).try_cast(to)
+
+
+def split_by_contract(df: DataFrame, contract: T.StructType | str,
+                      required: tuple[str, ...] = (),
+                      keep_key_types: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Load what fits and set the rest aside: (accepted, rejected).
+
+    ``accepted`` has the contract's columns and every row all of whose values
+    fit their types and whose ``required`` columns are not null.  ``rejected``
+    has one row per fault: ``row`` (the raw row as JSON), ``column_name``,
+    ``value`` (as text) and ``reason`` (``missing`` or ``not <type>``).  A row
+    with two faults is two rejects and no accepted row.  Both are projections of
+    one scan; columns the contract does not name are only kept in ``row``.
+    A missing column fails analysis, as it does in ``cast_to_contract``."""
+    schema = CONTRACTS[contract] if isinstance(contract, str) else contract
+    have = {f.name: f.dataType for f in df.schema.fields}
+    cast, faults = [], []
+    for f in schema.fields:
+        raw = F.col(f.name)
+        keep = keep_key_types and f.name.endswith("_id") and f.name in have
+        value = raw if keep else _fits(f.name, f.dataType)
+        cast.append(value.alias(f.name))
+        reason = F.when(raw.isNotNull() & value.isNull(),
+                        F.lit(f"not {f.dataType.simpleString()}"))
+        if f.name in required:
+            reason = F.coalesce(reason, F.when(raw.isNull(), F.lit("missing")))
+        faults.append(F.struct(F.lit(f.name).alias("column_name"),
+                               raw.cast("string").alias("value"), reason.alias("reason")))
+    found = F.filter(F.array(*faults), lambda x: x["reason"].isNotNull())
+    accepted = df.where(F.size(found) == 0).select(*cast)
+    raw_row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                        {"ignoreNullFields": "false"})
+    rejected = (df.select(raw_row.alias("row"), found.alias("f")).where(F.size("f") > 0)
+                .select("row", F.explode("f").alias("x")).select("row", "x.*"))
+    return accepted, rejected
+
+
+# Types a text column may turn out to have, the narrowest first.
+INFERRED = (T.BooleanType(), INT, T.LongType(), MONEY, T.DoubleType(), D, TS)
+_SHAPE = {T.BooleanType(): r"(?i)true|false", INT: r"[+-]?\d+", T.LongType(): r"[+-]?\d+",
+          MONEY: r"[+-]?\d{1,8}(\.\d{1,2})?", T.DoubleType(): r"[+-]?\d*\.?\d+(e[+-]?\d+)?",
+          D: r"\d{4}-\d\d-\d\d", TS: r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?"}
+
+
+def infer_contract(df: DataFrame) -> T.StructType:
+    """Types of text columns by their values, over the whole table in one pass:
+    the narrowest of boolean, int, bigint, decimal(10,2), double, date and
+    timestamp that every value has, else text.  Columns named ``*_id`` and
+    columns without any value stay text; columns that are not text keep their
+    type."""
+    text = [f.name for f in df.schema.fields
+            if isinstance(f.dataType, T.StringType) and not f.name.endswith("_id")]
+    checks = []
+    for n, c in enumerate(text):
+        value = F.trim(F.col(f"`{c}`"))
+        checks.append(F.count(value).alias(f"n{n}"))
+        for k, t in enumerate(INFERRED):
+            fits = value.rlike(f"^(?:{_SHAPE[t]})$") & value.try_cast(t).isNotNull()
+            checks.append(F.bool_and(fits).alias(f"t{n}_{k}"))
+    seen = df.agg(F.lit(1).alias("one"), *checks).first()        # one row
+    types = {}
+    for n, c in enumerate(text):
+        fit = [t for k, t in enumerate(INFERRED) if seen[f"n{n}"] and seen[f"t{n}_{k}"]]
+        types[c] = fit[0] if fit else S
+    return T.StructType([T.StructField(f.name, types.get(f.name, f.dataType), True)
+                         for f in df.schema.fields])
+
+
 def cast_to_contract(df: DataFrame, contract: T.StructType | str,
                      keep_key_types: bool = False) -> DataFrame:
     """Project ``df`` onto a contract, casting every column to its type.

@@ -26,6 +26,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Changes when files come, go or are written anew at ``path``: number of
+    files, their length, and when the file or folder last changed."""
+    _, p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return ()
+    total = fs.getContentSummary(p)
+    return (total.getFileCount(), total.getLength(), fs.getFileStatus(p).getModificationTime())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _, p, fs = _path(spark, path)
     fs.delete(p, True)
