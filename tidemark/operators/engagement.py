@@ -53,8 +53,6 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
     in_w1 = ts < add_days(s, activation.window_days)
     in_w2 = (ts >= add_days(s, funnel.week2_from_days)) & (ts < add_days(s, funnel.week2_to_days))
     d_us = elapsed_micros(s, ts)
-    flags = [F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
-             .alias(f"f{day}") for day, lo, hi in windows]
     if not with_days:
         return j.groupBy("user_id").agg(
             F.min(F.when(t == funnel.board_event, ts)).alias("created_first_board_at"),
@@ -66,8 +64,21 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
             F.count_if(in_w1 & t.isNotNull()).alias("total_events_week1"),
             *[F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
               .alias(retained_col(day)) for day, lo, hi in windows])
-    daily = j.groupBy("user_id", F.to_date(ts).alias("event_date")).agg(
-        *flags,
+    return rollup_days(daily_activity(j, funnel, activation, windows), windows)
+
+
+def daily_activity(joined: DataFrame, funnel: FunnelSpec = FunnelSpec(),
+                   activation: ActivationSpec = ActivationSpec(),
+                   windows=WINDOWS) -> DataFrame:
+    """Partial figures per (user, date) of events that carry ``signed_up_at``.
+    Rows of the same key can be merged (:func:`merge_days`)."""
+    ts, s, t = F.col("event_timestamp"), F.col("signed_up_at"), F.col("event_type")
+    in_w1 = ts < add_days(s, activation.window_days)
+    in_w2 = (ts >= add_days(s, funnel.week2_from_days)) & (ts < add_days(s, funnel.week2_to_days))
+    d_us = elapsed_micros(s, ts)
+    return joined.groupBy("user_id", F.to_date(ts).alias("event_date")).agg(
+        *[F.max(F.when((d_us >= lo * DAY_US) & (d_us < hi * DAY_US), 1).otherwise(0))
+          .alias(f"f{day}") for day, lo, hi in windows],
         F.min(F.when(t == funnel.board_event, ts)).alias("b_at"),
         F.min(F.when(t == funnel.invite_event, ts)).alias("i_at"),
         F.min(F.when(in_w2, ts)).alias("w2_at"),
@@ -76,6 +87,18 @@ def event_rollup(users: DataFrame, events: DataFrame, funnel: FunnelSpec = Funne
         F.count_if(in_w1 & (t == activation.task_event)).alias("t1"),
         F.count_if(in_w1 & t.isNotNull()).alias("n1"),
         F.count_if(in_w1).alias("any1"))
+
+
+def merge_days(days: DataFrame, windows=WINDOWS) -> DataFrame:
+    """Partial figures of several batches as one row per (user, date)."""
+    return days.groupBy("user_id", "event_date").agg(
+        *[F.max(f"f{day}").alias(f"f{day}") for day, _, _ in windows],
+        *[F.min(c).alias(c) for c in ("b_at", "i_at", "w2_at")],
+        *[F.sum(c).alias(c) for c in ("b1", "i1", "t1", "n1", "any1")])
+
+
+def rollup_days(daily: DataFrame, windows=WINDOWS) -> DataFrame:
+    """Per user, out of :func:`daily_activity`."""
     return daily.groupBy("user_id").agg(
         F.min("b_at").alias("created_first_board_at"),
         F.min("i_at").alias("invited_first_member_at"),

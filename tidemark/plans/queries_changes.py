@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeops import add_days, add_seconds
 from tidemark.operators import incremental as I
 from tidemark.operators.event_table import EventTable
+from tidemark.operators.user_state import UserStateTable
 from tidemark.plans import reports as R
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import cte, rate, sql
@@ -157,3 +158,20 @@ def q_event_table_dau_wau_mau(s, d):
     table = EventTable(s, scratch_path(s, "event_table_active"))
     table.load(B.users(s, d), B.user_events(s, d), "keyed")
     return R.kpi_dau_wau_mau(table.read(R.active_span("2024-01-20")), "2024-01-20")
+
+
+@register("funnel_snapshot_maintained", sql("SELECT * FROM o_snapshot", "o_snapshot"))
+def q_funnel_snapshot_maintained(s, d):
+    """The snapshot out of four batches, in which a third of the users arrive
+    after their first events and one batch is sent twice."""
+    users, events = B.users(s, d), B.user_events(s, d)
+    state = UserStateTable(s, scratch_path(s, "user_state"))
+    late = F.col("user_id") % 3 == 0
+    early = F.col("event_timestamp") < F.lit(SPLIT).cast("timestamp_ntz")
+    state.update(users.where(~late), events.where(early), "daily", 0)
+    for _ in range(2):
+        state.update(users.where(late & (F.col("user_id") % 2 == 0)),
+                     events.where(~early & (F.col("event_id") % 2 == 0)), "daily", 1)
+    state.update(users.where(late), events.limit(0), "daily", 2)
+    state.update(users.limit(0), events.where(~early & (F.col("event_id") % 2 == 1)), "daily", 3)
+    return state.snapshot(users, B.subscriptions(s, d))

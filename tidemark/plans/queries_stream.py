@@ -49,6 +49,26 @@ def q_stream_funnel_snapshot(s, d):
     return SQ.read_result(s, f"{base}/table").select(*SQ.SNAPSHOT_STREAM_COLUMNS)
 
 
+@register("stream_funnel_snapshot_join", sql("""
+  SELECT u.user_id,
+         min(e.event_timestamp) FILTER (WHERE e.event_type = 'board_created')
+           AS created_first_board_at,
+         min(e.event_timestamp) FILTER (WHERE e.event_type = 'member_invited')
+           AS invited_first_member_at,
+         min(e.event_timestamp) FILTER (
+           WHERE e.event_timestamp >= u.signed_up_at + INTERVAL 7 DAY
+             AND e.event_timestamp < u.signed_up_at + INTERVAL 14 DAY) AS active_in_week_2_at
+  FROM b_users u LEFT JOIN b_events e ON u.user_id = e.user_id
+  GROUP BY u.user_id""", "b_events", "b_users"))
+def q_stream_funnel_snapshot_join(s, d):
+    base = scratch_path(s, "stream_funnel_snapshot_join")
+    users = B.map_users(_source(s, d, "customer"), B.read_driver_table(s, d, "nation"),
+                        B.read_driver_table(s, d, "region"))
+    SQ.funnel_snapshot_join_stream(B.map_events(_source(s, d, "events")), users,
+                                   f"{base}/table", f"{base}/_checkpoint")
+    return SQ.read_result(s, f"{base}/table").select(*SQ.SNAPSHOT_STREAM_COLUMNS)
+
+
 @register("stream_weekly_signups", sql("""
   SELECT signup_week, count(*) AS signups FROM stg_users GROUP BY signup_week""",
                                        "stg_users"))

@@ -3,6 +3,9 @@
   event_fact_stream      events -> foreachBatch keyed load of the event fact
   funnel_snapshot_stream events JOIN static users -> stateful per-user
                          milestone minimums, update mode -> keyed upsert
+  funnel_snapshot_join_stream
+                         events and signups as two streams -> one keyed state
+                         per user, update mode -> keyed upsert
   weekly_signups_stream  users -> 7-day tumbling windows that
                          start on Mondays, update mode -> keyed upsert
 
@@ -13,6 +16,7 @@ then stop) unless a processing-time trigger is given.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +100,74 @@ def funnel_snapshot_stream(events: DataFrame, users: DataFrame, target: str, che
                 processing_time)
 
 
+_STATE = "signed_up long, board long, invite long, week2 long, pending array<long>"
+_MICROS = ("signed_up", "board", "invite", "week2")
+_DAY = 86_400_000_000
+
+
+def _milestones(spec: FunnelSpec):
+    """State of one user: times in microseconds; until the signup is known, the
+    times of all events, as any may turn out to be in week 2."""
+    def least(have, found):
+        found = found.dropna()
+        new = [int(found.min())] if len(found) else []
+        return min(new + ([] if have is None else [have]), default=None)
+
+    def step(key, frames, state):
+        signed_up, board, invite, week2, pending = \
+            state.get if state.exists else (None, None, None, None, ())
+        times = set(pending)
+        for pdf in frames:
+            if signed_up is None:
+                signed_up = least(None, pdf["signed_up"])
+            board = least(board, pdf["at"][pdf["event_type"] == spec.board_event])
+            invite = least(invite, pdf["at"][pdf["event_type"] == spec.invite_event])
+            times.update(pdf["at"].dropna().astype("int64").tolist())
+        if signed_up is not None:
+            lo, hi = (signed_up + d * _DAY for d in (spec.week2_from_days, spec.week2_to_days))
+            week2 = min([t for t in times if lo <= t < hi] + ([] if week2 is None else [week2]),
+                        default=None)
+            times = set()
+        state.update((signed_up, board, invite, week2, sorted(times)))
+        if signed_up is not None:
+            yield pd.DataFrame([(key[0], signed_up, board, invite, week2)],
+                               columns=["user_id", *_MICROS]).astype(
+                                   {c: "Int64" for c in _MICROS})
+    return step
+
+
+def funnel_snapshot_join_stream(events: DataFrame, signups: DataFrame, target: str,
+                                checkpoint: str, spec: FunnelSpec = FunnelSpec(),
+                                processing_time: str | None = None):
+    """The accumulating snapshot of two streams: users arrive as a stream, too,
+    before or after their events.  Both are one keyed state, so there is no
+    static side that goes stale or grows; a user has a row from signup on, with
+    or without events.  The state of a user is four times, and the times of the
+    events that came before the user did; a user sent again keeps the first
+    signup.  Events of users that never arrive stay in the state."""
+    micros = lambda c: F.unix_micros(F.col(c).cast(LTZ))  # noqa: E731  (UTC session)
+    none = lambda t: F.lit(None).cast(t)
+    rows = signups.select("user_id", none("string").alias("event_type"),
+                          none("long").alias("at"), micros("signed_up_at").alias("signed_up")) \
+        .unionByName(events.select("user_id", "event_type", micros("event_timestamp").alias("at"),
+                                   none("long").alias("signed_up"))) \
+        .where(F.col("user_id").isNotNull())
+    user_type = dict(rows.dtypes)["user_id"]
+    out = ", ".join([f"user_id {user_type}", *(f"{c} long" for c in _MICROS)])
+    found = rows.groupBy("user_id").applyInPandasWithState(
+        _milestones(spec), out, _STATE, "update", "NoTimeout")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    snapshot = found.select("user_id", at("board").alias("created_first_board_at"),
+                            at("invite").alias("invited_first_member_at"),
+                            at("week2").alias("active_in_week_2_at"))
+
+    def upsert(batch: DataFrame, epoch_id: int) -> None:
+        upsert_by_key(batch, target, ["user_id"])
+
+    return _run(snapshot.writeStream.outputMode("update").foreachBatch(upsert), checkpoint,
+                processing_time)
+
+
 def weekly_signups_stream(users: DataFrame, target: str, checkpoint: str,
                           processing_time: str | None = None):
     """Signups per Monday-starting week (the epoch is a Thursday, hence the
