@@ -14,8 +14,8 @@ of their ranks.  A pair can only make pairs of higher rank (checked when the
 file is read), so each word is merged as it would be by itself.
 
 Rows are independent: Spark deals out the texts, nothing is shuffled, and a
-task holds one slab and at most ``cache_pieces`` pieces between white space
-with their ids.
+task holds one slab and the pieces between white space it has met, with their
+ids, until they are more than ``cache_pieces``.
 
 Defined results: null and empty texts have no ids; the file's special tokens
 are found in texts as such and are one id each.  Decoding joins tokens by a
@@ -32,12 +32,14 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import python_tasks
+from tidemark.llm.streams import lean
 
 # Unicode white space, as the file's \s means it (without U+001C to U+001F)
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -84,22 +86,24 @@ class BpeVocabulary:
             raise ValueError("a byte-level BPE file with word ends and no decoder is needed")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.final = [vocab[c + end] for c in letters]
-        # pair of ids -> (rank, id of what it becomes)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        made: dict[int, int] = {}
+        self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
+        self.final = np.array([vocab[c + end] for c in letters], dtype=np.int64)
+        self.size = max(vocab.values()) + 1
+        parts, made = np.zeros((len(model["merges"]), 3), dtype=np.int64), {}
         for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, c = vocab[a], vocab[b], vocab[a + b]
-            if max(made.get(a, -1), made.get(b, -1)) >= rank or (a, b) in self.merges:
-                raise ValueError(f"merge {rank} comes before a merge that makes its parts")
-            self.merges[a, b] = rank, c
-            made[c] = rank
-        for (a, b), (rank, _) in self.merges.items():
-            if max(made.get(a, -1), made.get(b, -1)) >= rank:
-                raise ValueError(f"merge {rank} has a part that a later merge makes too")
-        self.pairs = list(self.merges)
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            parts[rank] = vocab[x], vocab[y], vocab[x + y]
+            made[vocab[x + y]] = rank                       # the last merge that makes it
+        self.left, self.right, self.into = parts.T.copy()
+        key = self.left * self.size + self.right
+        self.rank = np.argsort(key)
+        self.key = key[self.rank]
+        last = np.full(self.size, -1)
+        last[list(made)] = list(made.values())
+        late = np.maximum(last[self.left], last[self.right]) >= np.arange(len(parts))
+        if late.any() or (np.diff(self.key) == 0).any():
+            raise ValueError(f"merge {int(np.argmax(late))} has a part that it or a later merge "
+                             "makes, or a pair has two merges")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]
                for t in spec["added_tokens"]):
@@ -107,75 +111,90 @@ class BpeVocabulary:
         self.cut = (cut["pattern"]["Regex"].replace(r"\s", SPACE)
                     .replace(r"[\p{L}]", f"[{characters('L')}]").replace(r"\p{L}", characters("L"))
                     .replace(r"[\p{N}]", f"[{characters('N')}]").replace(r"\p{N}", characters("N")))
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
+        self.tokens = [""] * (max([self.size - 1, *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
 
-    def symbols(self, word: str) -> list[int]:
-        """First symbols of a word, its last byte marked."""
-        raw = word.encode("utf-8")
-        out = [self.inner[b] for b in raw]
-        out[-1] = self.final[raw[-1]]
-        return out
-
-
-def merge_words(words: list[str], vocabulary: BpeVocabulary) -> tuple[list[int], list[int]]:
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 without one."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], -1)
+
+
+class PairIndex:
+    """Positions of each pair that has a rank, and the ranks that have any."""
+
+    def __init__(self):
+        self.positions: dict[int, list[np.ndarray]] = {}
+        self.active: list[int] = []
+
+    def add(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        some = np.flatnonzero(ranks >= 0)
+        if not len(some):
+            return
+        ranks, positions = ranks[some], positions[some]
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cut = np.flatnonzero(np.diff(ranks)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(ranks)]):
+            rank = int(ranks[lo])
+            if rank not in self.positions:
+                self.positions[rank] = []
+                heapq.heappush(self.active, rank)
+            self.positions[rank].append(positions[lo:hi])
+
+    def lowest(self) -> tuple[int, np.ndarray]:
+        rank = heapq.heappop(self.active)
+        # overlapping pairs are merged leftmost first
+        return rank, np.sort(np.concatenate(self.positions.pop(rank)))
+
+
+def _apart(positions: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pairs of two equal symbols, those left when each symbol is used once."""
+    kept, used = [], set()
+    for i in positions.tolist():
+        if i not in used:
+            kept.append(i)
+            used.add(int(right[i]))
+    return np.array(kept, dtype=np.int64)
+
+
+def merge_words(words: list[str], vocabulary: BpeVocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words, one after the other, and where each word begins (one
     more at the end), by one pair occurrence index over all of them."""
-    sym: list[int] = []
-    first = [0]
-    for w in words:
-        sym += vocabulary.symbols(w)
-        first.append(len(sym))
-    n = len(sym)
-    right = list(range(1, n + 1))           # next symbol of the word, -1: none
-    left = list(range(-1, n - 1))
-    for lo, hi in zip(first, first[1:]):
-        left[lo] = right[hi - 1] = -1
-    merges = vocabulary.merges
-    index: dict[int, list[int]] = defaultdict(list)      # rank -> positions of its pair
-    for i, (a, b) in enumerate(zip(sym, sym[1:])):
-        if right[i] >= 0:
-            found = merges.get((a, b))
-            if found:
-                index[found[0]].append(i)
-    active = list(index)
-    heapq.heapify(active)
-    while active:
-        rank = heapq.heappop(active)
-        a, b = vocabulary.pairs[rank]
-        into = merges[a, b][1]
-        positions = index.pop(rank)
-        # new positions come in the order of merges; overlaps go leftmost first
-        positions.sort()
-        for i in positions:
-            j = right[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue                     # one of the two was merged meanwhile
-            sym[i], sym[j] = into, -1
-            after = right[i] = right[j]
-            before = left[i]
-            if after >= 0:
-                left[after] = i
-                found = merges.get((into, sym[after]))
-                if found:
-                    if found[0] not in index:
-                        heapq.heappush(active, found[0])
-                    index[found[0]].append(i)
-            if before >= 0:
-                found = merges.get((sym[before], into))
-                if found:
-                    if found[0] not in index:
-                        heapq.heappush(active, found[0])
-                    index[found[0]].append(before)
-    ids, starts, at = [], [0], 0
-    for lo, hi in zip(first, first[1:]):
-        kept = [s for s in sym[lo:hi] if s >= 0]
-        ids += kept
-        at += len(kept)
-        starts.append(at)
-    return ids, starts
+    spelled = [w.encode("utf-8") for w in words]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in spelled])]).astype(np.int64)
+    raw = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+    n = len(raw)
+    sym = vocabulary.inner[raw]
+    lasts = first[1:] - 1
+    sym[lasts] = vocabulary.final[raw[lasts]]
+    right, left = np.arange(1, n + 1), np.arange(-1, n - 1)     # neighbours, -1: none
+    right[lasts] = -1
+    left[first[:-1]] = -1
+    index = PairIndex()
+    pairs = np.flatnonzero(right >= 0)
+    index.add(vocabulary.ranks(sym[pairs], sym[pairs + 1]), pairs)
+    while index.active:
+        rank, at = index.lowest()
+        a, b, into = vocabulary.left[rank], vocabulary.right[rank], vocabulary.into[rank]
+        nxt = right[at]
+        # one of the two may have been merged meanwhile
+        at = at[(sym[at] == a) & (nxt >= 0) & (sym[nxt] == b)]
+        if a == b:
+            at = _apart(at, right)
+        gone = right[at]
+        after, before = right[gone], left[at]
+        sym[at], sym[gone] = into, -1
+        right[at] = after
+        here = after >= 0
+        left[after[here]] = at[here]
+        index.add(vocabulary.ranks(sym[at[here]], sym[after[here]]), at[here])
+        before = before[before >= 0]
+        index.add(vocabulary.ranks(sym[before], sym[right[before]]), before)
+    kept = sym >= 0
+    return sym[kept].astype(np.int32), np.concatenate([[0], np.cumsum(kept)])[first]
 
 
 def pieces(text: str) -> list[str]:
@@ -202,9 +221,8 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.at: dict = {}                   # piece -> number
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.ids = np.zeros(0, np.int32)     # of all pieces, one after the other
+        self.at: dict = defaultdict(count().__next__)     # piece -> number
+        self.ids = np.zeros(0, np.int32)                  # of all pieces, one after the other
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
@@ -221,33 +239,32 @@ class Encoder:
         return out
 
     def _learn(self, new: list) -> None:
-        """Ids of pieces that were not met before."""
-        cuts: list = []
+        """Ids of pieces that were not met before: words of all of them first,
+        special tokens as words of their own."""
+        number: dict = defaultdict(count().__next__)
+        cuts, many = [], []
         for p in new:
+            before = len(cuts)
             if isinstance(p, int):
-                cuts.append(p)
+                cuts.append(number[p])
             elif p.isascii() and p.isalpha():
-                cuts.append((p.lower(),))
-            else:
-                cuts.append(self.word.findall(normal(p)))
-        words = list({w for cut in cuts if not isinstance(cut, int) for w in cut
-                      if w not in self.words})
-        ids, starts = merge_words(words, self.vocabulary)
-        for w, lo, hi in zip(words, starts, starts[1:]):
-            self.words[w] = tuple(ids[lo:hi])
-        flat, length = [], []
-        for cut in cuts:
-            before = len(flat)
-            if isinstance(cut, int):
-                flat.append(cut)
+                cuts.append(number[p.lower()])
             else:
-                for w in cut:
-                    flat += self.words[w]
-            length.append(len(flat) - before)
-        n = np.array(length, dtype=np.int64)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-        self.length = np.concatenate([self.length, n])
-        self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.int32)])
+                cuts += [number[w] for w in self.word.findall(normal(p))]
+            many.append(len(cuts) - before)
+        special = [(k, w) for k, w in enumerate(number) if isinstance(w, int)]
+        ids, begin = merge_words([" " if isinstance(w, int) else w for w in number],
+                                 self.vocabulary)
+        for k, w in special:                              # a blank is one symbol: its place
+            ids[begin[k]] = w
+        cut, n_words = np.array(cuts, dtype=np.int64), np.array(many, dtype=np.int64)
+        sizes = np.diff(begin)[cut]
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(begin[cut] - to[:-1], sizes) + np.arange(to[-1])]
+        ends = np.concatenate([[0], np.cumsum(n_words)])
+        self.start = np.concatenate([self.start, len(self.ids) + to[ends[:-1]]])
+        self.length = np.concatenate([self.length, to[ends[1:]] - to[ends[:-1]]])
+        self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one more at the end)."""
@@ -256,13 +273,9 @@ class Encoder:
         known, at = len(self.at), self.at
         used = []
         for t in texts:
-            parts = self._parts(t) if t else []
-            for p in parts:
-                if p not in at:
-                    at[p] = len(at)
-            used.append(np.fromiter(map(at.__getitem__, parts), np.int64, len(parts)))
+            used.append(np.array([at[p] for p in self._parts(t)] if t else [], dtype=np.int64))
         if len(at) > known:
-            self._learn(list(at)[known:])
+            self._learn(list(islice(at, known, None)))
         which = np.concatenate([np.zeros(0, np.int64), *used])
         n = self.length[which]
         to = np.concatenate([[0], np.cumsum(n)])
@@ -274,36 +287,36 @@ def _ddl(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])
 
 
-def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: BpeVocabulary,
-                 slab_chars: int = 2_000_000, cache_pieces: int = 400_000) -> DataFrame:
-    """``docs`` (with a ``text``, without an ``ids`` column) plus ``ids array<int>``."""
-    python_tasks(spark)
-
+def _encoder(vocabulary: BpeVocabulary, slab_bytes: int, cache_pieces: int):
     def encode(batches):
         encoder = Encoder(vocabulary, cache_pieces)
 
         def slab(held):
-            table = pa.Table.from_batches(held).combine_chunks()
-            ids, first = encoder.encode(table.column("text").to_pylist())
-            column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))
-            return table.append_column("ids", column).to_batches()
+            texts = [t for b in held for t in b.column(b.schema.names.index("text")).to_pylist()]
+            ids, first = encoder.encode(texts)
+            lo = 0
+            for b in held:
+                hi = lo + b.num_rows
+                column = pa.ListArray.from_arrays(
+                    pa.array(first[lo:hi + 1] - first[lo], pa.int32()),
+                    pa.array(ids[first[lo]:first[hi]], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, column],
+                                                 names=[*b.schema.names, "ids"])
+                lo = hi
 
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= slab_chars:
+            if size >= slab_bytes:
                 yield from slab(held)
                 held, size = [], 0
         if held:
             yield from slab(held)
-    return docs.mapInArrow(encode, _ddl(docs, "ids array<int>"))
+    return encode
 
 
-def decode_ids(spark: SparkSession, encoded: DataFrame, vocabulary: BpeVocabulary,
-               ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``encoded`` plus the tokens of the column ``ids``, joined by spaces."""
-    python_tasks(spark)
+def _decoder(vocabulary: BpeVocabulary, ids: str, into: str):
     spelling = [t.encode("utf-8") + b" " for t in vocabulary.tokens]
 
     def decode(batches):
@@ -319,9 +332,41 @@ def decode_ids(spark: SparkSession, encoded: DataFrame, vocabulary: BpeVocabular
             n = length[values]
             to = np.concatenate([[0], np.cumsum(n)])
             out = letters[np.repeat(first[values] - to[:-1], n) + np.arange(to[-1])].tobytes()
-            cut = to[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+            cut = to[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
             texts = [None if gone else out[s:max(s, e - 1)].decode("utf-8")
-                     for s, e, gone in zip(cut[:-1], cut[1:], lists.is_null().to_pylist())]
+                     for s, e, gone in zip(cut, cut[1:], lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, into])
-    return encoded.mapInArrow(decode, _ddl(encoded, f"`{into}` string"))
+    return decode
+
+
+SLAB_BYTES, CACHE_PIECES = 8_000_000, 300_000
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: BpeVocabulary,
+                 slab_bytes: int = SLAB_BYTES, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """``docs`` (with a ``text``, without an ``ids`` column) plus ``ids array<int>``."""
+    python_tasks(spark)
+    return docs.mapInArrow(lean(_encoder(vocabulary, slab_bytes, cache_pieces)),
+                           _ddl(docs, "ids array<int>"))
+
+
+def decode_ids(spark: SparkSession, encoded: DataFrame, vocabulary: BpeVocabulary,
+               ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``encoded`` plus the tokens of the column ``ids``, joined by spaces."""
+    python_tasks(spark)
+    return encoded.mapInArrow(lean(_decoder(vocabulary, ids, into)), _ddl(encoded, f"`{into}` string"))
+
+
+def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: BpeVocabulary) -> DataFrame:
+    """``docs`` without its ``text``, plus ``ids`` and ``decoded``: both
+    directions in the same task, so that ids cross to Python once and texts
+    do not come back."""
+    python_tasks(spark)
+    encode = _encoder(vocabulary, SLAB_BYTES, CACHE_PIECES)
+    decode = _decoder(vocabulary, "ids", "decoded")
+
+    def code(batches):
+        for b in decode(encode(batches)):
+            yield b.drop_columns(["text"])
+    return docs.mapInArrow(lean(code), _ddl(docs.drop("text"), "ids array<int>, decoded string"))

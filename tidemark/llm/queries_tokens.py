@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_codec
 from tidemark.llm.common import table
-from tidemark.llm.sentencepiece_codec import Vocabulary, decode_ids, encode_texts
+from tidemark.llm.sentencepiece_codec import Vocabulary, round_trip
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BPE_FILE = "/opt/tokenizers/word_bpe_49k.json"
@@ -15,8 +15,7 @@ BPE_FILE = "/opt/tokenizers/word_bpe_49k.json"
 def encoded_documents(spark, docs, model_file: str = MODEL_FILE):
     """doc_id, ids, n_tokens and whether the ids decode to the text again."""
     vocabulary = Vocabulary(model_file)
-    coded = encode_texts(spark, docs.select("doc_id", "text"), vocabulary)
-    return decode_ids(spark, coded, vocabulary).select(
+    return round_trip(spark, docs.select("doc_id", "text"), vocabulary).select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
@@ -27,9 +26,8 @@ def op6_sentencepiece_codec(spark, sf_dir):
 
 def op12_bpe_codec(spark, sf_dir, file: str = BPE_FILE):
     vocabulary = bpe_codec.BpeVocabulary(file)
-    coded = bpe_codec.encode_texts(
-        spark, table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return bpe_codec.decode_ids(spark, coded.drop("text"), vocabulary).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec.round_trip(spark, docs, vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

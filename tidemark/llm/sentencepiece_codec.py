@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import python_tasks
+from tidemark.llm.streams import lean
 
 MARK = "▁"
 LITERAL = "\udfff"            # stands for a literal mark; cannot occur in a text
@@ -204,11 +205,20 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary,
                  cache_words: int = 100_000) -> DataFrame:
     """``docs`` (with a ``text``, without an ``ids`` column) plus ``ids array<int>``."""
     python_tasks(spark)
-    return docs.mapInArrow(_encoder(vocabulary, cache_words), _ddl(docs, "ids array<int>"))
+    return docs.mapInArrow(lean(_encoder(vocabulary, cache_words)), _ddl(docs, "ids array<int>"))
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, vocabulary: Vocabulary,
                ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` plus the text of the column ``ids``."""
     python_tasks(spark)
-    return encoded.mapInArrow(_decoder(vocabulary, ids, into), _ddl(encoded, f"`{into}` string"))
+    return encoded.mapInArrow(lean(_decoder(vocabulary, ids, into)), _ddl(encoded, f"`{into}` string"))
+
+
+def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary,
+               cache_words: int = 100_000) -> DataFrame:
+    """``docs`` plus ``ids`` and ``decoded``: both directions in the same task."""
+    python_tasks(spark)
+    encode, decode = _encoder(vocabulary, cache_words), _decoder(vocabulary, "ids", "decoded")
+    return docs.mapInArrow(lean(lambda batches: decode(encode(batches))),
+                           _ddl(docs, "ids array<int>, decoded string"))

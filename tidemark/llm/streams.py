@@ -1,11 +1,31 @@
-"""Complete key groups out of a sorted stream of pandas batches."""
+"""What tasks do with their stream of batches: complete key groups out of a
+sorted one, and giving memory back behind it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+
+def lean(step: Callable) -> Callable:
+    """``step`` (batches to batches) that returns the memory it has freed to
+    the system when the task ends: workers wait for their next task, and what
+    they hold then is missing in the stages between."""
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return run
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str],
