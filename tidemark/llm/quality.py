@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidemark.llm.common import labelled_sample, python_tasks
+from tidemark.llm.streams import lean
 from tidemark.llm.words import U64, chunks, code_point_table, words_of
 
 STATISTICS = 16
@@ -99,6 +100,13 @@ def _design(model: Model, texts: list[str]):
             np.concatenate([value, z.ravel()]), n)
 
 
+def _sample_design(model: Model, texts: list[str]):
+    """The design of a whole sample, made a run of texts at a time."""
+    made = [(lo, _design(model, texts[lo:hi])) for lo, hi in chunks(texts)]
+    return (np.concatenate([lo + d[0] for lo, d in made]),
+            *(np.concatenate([d[k] for _, d in made]) for k in (1, 2)), len(texts))
+
+
 def _forward(model: Model, row, col, x, n):
     """Score before the logistic function, and the sums of each factor."""
     out = model.bias + np.bincount(row, weights=model.linear[col] * x, minlength=n)
@@ -129,7 +137,7 @@ def fit(rows: list[tuple[str, int]], buckets: int = 1 << 15, rank: int = 6, step
     texts = [t for t, _ in rows]
     statistics = np.concatenate([features(texts[a:b], buckets)[3] for a, b in chunks(texts)])
     model.center, model.spread = statistics.mean(axis=0), statistics.std(axis=0) + 1e-6
-    row, col, x, n = _design(model, texts)
+    row, col, x, n = _sample_design(model, texts)
     weight = np.where(y == 1, .5 / y.mean(), .5 / (1 - y.mean())) / n
     theta = [np.zeros(1), model.linear, *model.factors]
     m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -162,10 +170,12 @@ def _scorer(model: Model):
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``score``, the probability of label 1."""
+    """``docs`` plus ``score``, the probability of label 1 (in place of a column
+    of that name)."""
     python_tasks(spark)
+    docs = docs.drop("score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(_scorer(model), fields + ", score double")
+    return docs.mapInPandas(lean(_scorer(model)), fields + ", score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int = 1500,

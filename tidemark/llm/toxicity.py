@@ -23,7 +23,8 @@ scoring is a map over the texts without a shuffle.
 Defined results: null and empty texts have no tokens and the score of a text
 without any sign of toxicity.  Without labelled rows of both kinds every
 score is the share of toxic labels (0 without labels).  Repeated rows are
-scored alike; extra columns pass unchanged.
+scored alike; extra columns pass unchanged, but for columns named like the
+new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidemark.llm.common import labelled_sample, python_tasks
+from tidemark.llm.streams import lean
 from tidemark.llm.words import U64, Words, chunks, code_point_table, words_of
 
 
 BEGINNINGS = (3, 4, 5, 6)
 FAINT = 0.5
+TRAIN_CHARS = 1_500_000         # characters of the sample that training looks at at a time
 
 
 @dataclass
@@ -156,16 +159,36 @@ def _doc_features(gamma: np.ndarray, first_word: np.ndarray) -> np.ndarray:
                      np.sqrt(total / np.maximum(n, 1))], axis=1)
 
 
-def _lexicon(w: Words, y: np.ndarray, size: int, least_docs: int, ratio: float) -> np.ndarray:
+def _seen_in(w: Words, y: np.ndarray):
+    """Distinct words and beginnings of some texts, with the number of toxic
+    and of other texts that hold each."""
+    doc = w.doc
+    code, texts = [], []
+    for at, h in ((None, w.hash), *map(w.beginnings, BEGINNINGS)):
+        code.append(h)
+        texts.append(doc if at is None else doc[at])
+    code, texts = np.concatenate(code), np.concatenate(texts)
+    order = np.lexsort((texts, code))
+    code, texts = code[order], texts[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (texts[1:] != texts[:-1])
+    return _summed(code[new], y[texts[new]] == 1, y[texts[new]] != 1)
+
+
+def _summed(code: np.ndarray, a: np.ndarray, b: np.ndarray):
+    words, where = np.unique(code, return_inverse=True)
+    return (words, np.bincount(where, weights=a, minlength=len(words)),
+            np.bincount(where, weights=b, minlength=len(words)))
+
+
+def _lexicon(texts: list[str], y: np.ndarray, size: int, least_docs: int,
+             ratio: float) -> np.ndarray:
     """Hashes of the words that mark toxic texts: in at least ``least_docs`` of
     them and ``ratio`` times as often as in others; the clearest first."""
-    doc = w.doc.astype(np.uint64)
-    every = [(w.hash, doc)] + [(h, doc[at]) for at, h in map(w.beginnings, BEGINNINGS)]
-    pairs = np.unique(np.concatenate([np.stack(x, axis=1) for x in every]), axis=0)
-    words, where = np.unique(pairs[:, 0], return_inverse=True)
-    toxic = y[pairs[:, 1].astype(np.int64)] == 1
-    a = np.bincount(where, weights=toxic, minlength=len(words))
-    b = np.bincount(where, weights=~toxic, minlength=len(words))
+    words, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for lo, hi in chunks(texts):
+        more = _seen_in(words_of(texts[lo:hi], letters_only=True), y[lo:hi])
+        words, a, b = _summed(*map(np.concatenate, zip((words, a, b), more)))
     na, nb = (y == 1).sum(), (y == 0).sum()
     lift = np.log((a + .5) / (na + 1)) - np.log((b + .5) / (nb + 1))
     signed = lift * np.sqrt(a)
@@ -174,6 +197,30 @@ def _lexicon(w: Words, y: np.ndarray, size: int, least_docs: int, ratio: float)
     return np.sort(words[best])
 
 
+@dataclass
+class Part:
+    """What training keeps of a run of texts."""
+    hits: tuple                 # lexicon hits: index of the token, of the entry
+    first: np.ndarray           # first token of each sequence, one more at the end
+    around: tuple               # lexicon word before, after
+    label: np.ndarray           # of each token
+    pairs: np.ndarray           # label pairs [from, to]
+    first_word: np.ndarray      # first token of each text, one more at the end
+
+
+def _part(texts: list[str], y: np.ndarray, lexicon: np.ndarray) -> Part:
+    w = words_of(texts, letters_only=True)
+    hits, first = _entries(lexicon, w), _sequences(w)
+    label = np.zeros(len(w.hash), dtype=bool)
+    label[hits[0]] = y[w.doc[hits[0]]] == 1
+    last = np.zeros(len(label), dtype=bool)
+    last[first[1:] - 1] = True
+    a = np.flatnonzero(~last)
+    pairs = np.bincount(2 * label[a] + label[a + 1], minlength=4).reshape(2, 2)
+    around = tuple(x.astype(bool) for x in _neighbours(hits[0], first))
+    return Part(hits, first, around, label, pairs, w.first)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> np.ndarray:
     """Newton steps of a ridge logistic regression."""
     beta = np.zeros(x.shape[1])
@@ -194,35 +241,31 @@ def fit(rows: list[tuple[str, int]], lexicon_size: int = 2000, least_docs: int =
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(none.astype(np.uint64), none, -20.0, 0.0, 0.0, np.zeros((2, 2)),
                      np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    w = words_of([t for t, _ in rows], letters_only=True)
-    lexicon = _lexicon(w, y, lexicon_size, least_docs, ratio)
-    hits, first = _entries(lexicon, w), _sequences(w)
-    tokens, entries = hits
-    around = before, after = _neighbours(tokens, first)
-    label = np.zeros(len(w.hash))
-    label[tokens] = y[w.doc[tokens]]
-    last = np.zeros(len(label), dtype=bool)
-    last[first[1:] - 1] = True
-    a = np.flatnonzero(~last)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[a].astype(int), label[a + 1].astype(int)), 1)
-    model = Model(lexicon, np.zeros(len(lexicon)), 0.0, 0.0, 0.0, np.zeros((2, 2)), np.zeros(4))
-    theta = np.zeros(len(lexicon) + 7)
+    texts = [t for t, _ in rows]
+    lexicon = _lexicon(texts, y, lexicon_size, least_docs, ratio)
+    parts = [_part(texts[lo:hi], y[lo:hi], lexicon) for lo, hi in chunks(texts, TRAIN_CHARS)]
+    n = len(lexicon)
+    model = Model(lexicon, np.zeros(n), 0.0, 0.0, 0.0, np.zeros((2, 2)), np.zeros(4))
+    theta = np.zeros(n + 7)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        gamma, pairs = _marginals(_potential(model, hits, first, around), first, model.move)
-        diff = label - gamma
-        grad = np.concatenate([
-            np.bincount(entries, weights=diff[tokens], minlength=len(lexicon)),
-            [diff.sum(), diff @ before, diff @ after], (seen - pairs).ravel()])
+        grad = np.zeros(n + 7)
+        for p in parts:
+            gamma, pairs = _marginals(_potential(model, p.hits, p.first, p.around), p.first,
+                                      model.move)
+            diff = p.label - gamma
+            grad += np.concatenate([
+                np.bincount(p.hits[1], weights=diff[p.hits[0]], minlength=n),
+                [diff.sum(), diff[p.around[0]].sum(), diff[p.around[1]].sum()],
+                (p.pairs - pairs).ravel()])
         grad = grad / np.sqrt(1 + np.abs(grad)) - l2 * len(rows) * theta
         m1, m2 = .9 * m1 + .1 * grad, .99 * m2 + .01 * grad ** 2
         theta += .3 * (m1 / (1 - .9 ** step)) / (np.sqrt(m2 / (1 - .99 ** step)) + 1e-8)
-        n = len(lexicon)
         model.own, (model.bias, model.before, model.after) = theta[:n], theta[n:n + 3]
         model.move = theta[n + 3:].reshape(2, 2)
-    gamma, _ = _marginals(_potential(model, hits, first, around), first, model.move)
-    x = _doc_features(gamma, w.first)
+    x = np.concatenate([_doc_features(
+        _marginals(_potential(model, p.hits, p.first, p.around), p.first, model.move)[0],
+        p.first_word) for p in parts])
     weight = np.where(y == 1, .5 / (y == 1).mean(), .5 / (y == 0).mean())
     model.doc = _logistic(x, y, weight, l2=.1)
     return model
@@ -268,10 +311,12 @@ def _spans(w: Words, toxic: np.ndarray, first: np.ndarray, texts: int) -> list[l
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model,
                     span_cut: float = 0.5) -> DataFrame:
-    """``docs`` plus ``score, toxic_tokens, spans`` (array of start, end)."""
+    """``docs`` plus ``score, toxic_tokens, spans`` (array of start, end), which
+    replace columns of these names."""
     python_tasks(spark)
+    docs = docs.drop("score", "toxic_tokens", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(_scorer(model, span_cut), fields +
+    return docs.mapInPandas(lean(_scorer(model, span_cut)), fields +
                             ", score double, toxic_tokens double, "
                             "spans array<struct<start:int,end:int>>")
 

@@ -26,13 +26,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+KEPT_POWERS = 1 << 19
+
+
 def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
-    have = _tables.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 19), base, dtype=np.uint64)
+    """The first n powers; a table for usual batches is kept, a longer one is
+    made for the call and goes with it."""
+    if n > KEPT_POWERS:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+    if name not in _tables:
+        steps = np.full(KEPT_POWERS, base, dtype=np.uint64)
         steps[0] = 1
-        have = _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+        _tables[name] = np.cumprod(steps, dtype=np.uint64)
+    return _tables[name][:n]
 
 
 def code_point_table(name: str, fn, dtype) -> np.ndarray:
