@@ -47,6 +47,17 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of it can clash with
+    the names an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def unpacked(row: str, docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` out of the struct made by :func:`packed`."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

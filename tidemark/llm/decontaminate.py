@@ -30,7 +30,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, packed, unpacked
 
 BROADCAST_ROWS = 500_000          # rows of two or three longs: some 20 MB
 
@@ -113,8 +113,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     """
     key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                                     F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("_key", key)
-    bad = (contaminated(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark,
-                        **options)
-           .select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = (contaminated(spark, docs.select(key.alias("doc_id"), "text"), benchmark, **options)
+           .select(F.col("doc_id").alias("key")).distinct())
+    return (docs.select(key.alias("key"), packed(docs).alias("row"))
+            .join(bad, "key", "left_anti").select(*unpacked("row", docs)))

@@ -31,9 +31,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, python_tasks
+from tidemark.llm.common import materialize, packed, python_tasks, unpacked
 from tidemark.llm.components import connected_components
-from tidemark.llm.streams import whole_groups
+from tidemark.llm.streams import lean, whole_groups
 from tidemark.llm.words import U64, chunks, mix, shingles, words_of
 
 BANDS, ROWS = 20, 4
@@ -255,7 +255,7 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float
     # ids as text: nulls among numbers would make them floating-point in the task
     sketch = materialize(spark, docs.select(
         F.col("doc_id").cast("string").alias("doc_id"), text_hash().alias("copy"), "text")
-        .mapInPandas(_sketcher(n), "doc_id string, copy binary, node binary, n_shingles int, "
+        .mapInPandas(lean(_sketcher(n)), "doc_id string, copy binary, node binary, n_shingles int, "
                      "sig binary, keys array<long>")
         .withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")
@@ -282,7 +282,7 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float
         member.join(nodes.select("node", "sig"), "node")
         .select(*BLOCK_KEYS, "blk", "node", "sig")
         .repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
-        .mapInPandas(_pruner(threshold, tolerance, step), BLOCK_COLUMNS), "left")
+        .mapInPandas(lean(_pruner(threshold, tolerance, step)), BLOCK_COLUMNS), "left")
 
     # texts of what is left, then the exact check
     wanted = left.select("node").distinct().join(nodes.select("node", "rep"), "node")
@@ -290,13 +290,13 @@ def _classes(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: float
              .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))
                    & (F.col("copy") == F.col("rep.copy")))
              .select("node", "text")
-             .mapInPandas(_shingler(n), "node binary, shingles binary").dropDuplicates(["node"]))
+             .mapInPandas(lean(_shingler(n)), "node binary, shingles binary").dropDuplicates(["node"]))
     full = texts.join(nodes.select("node", "sig", "copies"), "node")
     links = materialize(
         spark,
         left.join(full, "node").select(*BLOCK_KEYS, "blk", "node", "sig", "copies", "shingles")
         .repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
-        .mapInPandas(_verifier(threshold, tolerance, step),
+        .mapInPandas(lean(_verifier(threshold, tolerance, step)),
                      "node binary, root binary, links long, node_links long"), "verified")
 
     parts = connected_components(spark, links.select(F.col("node").alias("a"),
@@ -332,9 +332,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     or any if its class has no id at all; of several texts under that id the one
     of the smallest hash.  Columns are those of ``docs``.
     """
-    first = _classes(spark, docs, **options)[2].select(
-        F.col("first.doc_id").alias("_kept"), F.col("first.copy").alias("_of"))
-    return (docs.withColumn("_copy", text_hash())
-            .join(first, F.col("doc_id").eqNullSafe(F.col("_kept"))
-                  & (F.col("_copy") == F.col("_of")), "left_semi")
-            .dropDuplicates(["doc_id", "_copy"]).drop("_copy"))
+    first = _classes(spark, docs.select("doc_id", "text"), **options)[2].select(
+        F.col("first.doc_id").alias("kept"), F.col("first.copy").alias("of"))
+    return (docs.select(F.col("doc_id").alias("id"), text_hash().alias("copy"),
+                        packed(docs).alias("row"))
+            .join(first, F.col("id").eqNullSafe(F.col("kept"))
+                  & (F.col("copy") == F.col("of")), "left_semi")
+            .dropDuplicates(["id", "copy"]).select(*unpacked("row", docs)))

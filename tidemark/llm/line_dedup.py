@@ -1,97 +1,122 @@
 """Removal of cross-site boilerplate lines by distinct-site spread.
 
-Every line (split at new lines, outer spaces trimmed, at least ``min_words``
-words) has a hash; a HyperLogLog sketch of the sites it occurs on is built per
-hash, partially in every task and merged by aggregation.  A line whose
-estimate is clearly above ``min_sites`` is boilerplate, one clearly below is
-not, and lines near the threshold get an exact distinct count.  Boilerplate is
-removed from all documents but the one with the smallest ``doc_id`` that has
-it, which keeps its first occurrence, so no content is lost altogether.
+Every line that is not blank (split at new lines, outer spaces trimmed, at
+least ``min_words`` words) has a hash; a HyperLogLog sketch of the sites it
+occurs on is built per hash, partially in every task and merged by
+aggregation.  A line whose estimate is clearly above ``min_sites`` is
+boilerplate, one clearly below is not, and lines near the threshold get an
+exact distinct count.  Boilerplate is removed from all documents but the first
+that has it, which keeps its first occurrence, so no content is lost
+altogether.
+
+A document is its id, site and text together: the first one is that of the
+smallest id, then site, then text hash.  Rows that share an id, or have none,
+are told apart by site and text; only rows equal in all three are one document
+and keep the same lines.
 
 DataFrame functions only.  A line on a third of all documents is one partial
-sketch per task; texts are shuffled once, to meet the hashes to drop from them.
+sketch per task; the boilerplate (hash, first document) is written once and
+broadcast if a count of it says that it is small, joined by a shuffle beyond
+that; texts are shuffled once, to meet the places to drop from them.
 
 Defined results: null or empty texts stay as they are; null sites do not count
-as a site; rows with the same id share their removals (a repeated row keeps
-what its twin keeps).  Rows with a null id lose boilerplate unless no row with
-an id has the line.  ``n_chars``, if present, is set to the new length of
-changed texts.  Other columns pass unchanged, whatever their names.
+as a site; rows without id come after those with one.  ``n_chars``, if
+present, is set to the new length of changed texts.  Other columns pass
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize, packed
+from tidemark.operators.joins import join_dimension
+
+BROADCAST_LINES = 100_000
+
 
-def _norm(line):
-    return F.trim(line)
+def _document_key() -> Column:
+    """16 bytes that name a document: its id, site and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\n", part(F.col("doc_id").cast("string")),
+                                     part(F.col("source").cast("string")), F.col("text"))))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, site, h): one row per line that is long enough."""
-    cut = docs.select("doc_id", F.col("source").alias("site"),
-                      F.explode(F.split("text", "\n")).alias("line"))
-    line = _norm(F.col("line"))
-    return (cut.where(F.size(F.split(line, " ")) >= min_words)
-            .select("doc_id", "site", F.xxhash64(line).alias("h")))
+    """``doc, doc_id, site, pos, h``: one row per line that is looked at."""
+    cut = docs.where(F.col("text").isNotNull()).select(
+        _document_key().alias("doc"), "doc_id", F.col("source").alias("site"),
+        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.trim("line")
+    long_enough = line != "" if min_words <= 1 else (line != "") & (
+        F.size(F.split(line, " ")) >= min_words)
+    return cut.where(long_enough).select("doc", "doc_id", "site", "pos",
+                                         F.xxhash64(line).alias("h"))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = 5, min_words: int = 5,
+def boilerplate_lines(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
                       lg_k: int = 12) -> DataFrame:
-    """``h, sites, first_doc``: hashes of lines on at least ``min_sites`` sites."""
+    """``h, sites, first``: hashes of lines on at least ``min_sites`` sites, and
+    the key of the document that keeps one."""
     lines = _lines(docs, min_words)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("site").isNull(),
+                     F.col("site"), F.col("doc"))
     # three standard errors of the sketch, one site at least
     band = max(1.0, 3 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     sketched = (lines.groupBy("h")
                 .agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"),
-                     F.min("doc_id").alias("first_doc"))
-                .select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
+                     F.min(order).alias("first"))
+                .select("h", F.col("first.doc").alias("first"),
+                        F.hll_sketch_estimate("sketch").alias("sites"))
                 .where(F.col("sites") >= min_sites - band))
     far = sketched.where(F.col("sites") > min_sites + band)
     near = sketched.where(F.col("sites") <= min_sites + band)
-    exact = (lines.join(near.select("h", "first_doc"), "h")
-             .groupBy("h", "first_doc").agg(F.countDistinct("site").alias("sites"))
+    exact = (lines.join(near.select("h", "first"), "h")
+             .groupBy("h", "first").agg(F.countDistinct("site").alias("sites"))
              .where(F.col("sites") >= min_sites))
-    return far.select("h", "sites", "first_doc").unionByName(exact)
+    return far.select("h", "sites", "first").unionByName(exact)
+
+
+def lines_to_drop(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
+                  lg_k: int = 12) -> DataFrame:
+    """``doc, places``: positions of the lines that go, per document."""
+    found = materialize(docs.sparkSession,
+                        boilerplate_lines(docs, min_sites, min_words, lg_k).select("h", "first"),
+                        "boilerplate")
+    hits = join_dimension(_lines(docs, min_words).select("doc", "pos", "h"), found, "h",
+                          max_rows=BROADCAST_LINES)
+    # places of one line in one document; rows that repeat a document add nothing
+    per_line = hits.groupBy("doc", "h", "first").agg(F.collect_set("pos").alias("at"))
+    gone = F.when(F.col("first") == F.col("doc"),
+                  F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    return (per_line.select("doc", gone.alias("gone")).where(F.size("gone") > 0)
+            .groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("places")))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 5,
+def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
                      lg_k: int = 12, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``.  With ``counts``
     the columns ``n_lines`` and ``n_removed`` are appended."""
-    found = boilerplate_lines(docs, min_sites, min_words, lg_k)
-    per_doc = (_lines(docs, min_words).select("doc_id", "h").distinct().join(found, "h")
-               .groupBy("doc_id")
-               .agg(F.collect_set("h").alias("bad"),
-                    F.collect_set(F.when(F.col("first_doc").eqNullSafe(F.col("doc_id")),
-                                         F.col("h"))).alias("keep"))
-               .select(F.col("doc_id").alias("_id"),
-                       F.struct("bad", "keep").alias("_drop")))
-    names = docs.columns
-    every = F.split("text", "\n")
-    hashes = F.transform(every, lambda x: F.xxhash64(_norm(x)))
-    long_enough = lambda x: F.size(F.split(_norm(x), " ")) >= min_words
-    kept = F.filter(every, lambda x, i: ~(
-        long_enough(x) & F.array_contains("_drop.bad", F.xxhash64(_norm(x)))
-        & ~(F.array_contains("_drop.keep", F.xxhash64(_norm(x)))
-            & (F.array_position(hashes, F.xxhash64(_norm(x))) == i + 1))))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]), "left")
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull()
-                                               & F.col("text").isNotNull(), kept))
-    text = F.coalesce(F.array_join("_kept", "\n"), F.col("text"))
+    drop = lines_to_drop(docs, min_sites, min_words, lg_k).withColumnRenamed("doc", "of")
+    rows = docs.select(_document_key().alias("doc"), packed(docs).alias("row"))
+    joined = rows.join(drop, (F.col("doc") == F.col("of")) & F.col("row.text").isNotNull(), "left")
+    every = F.split("row.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("places"))
+    changed = F.col("places").isNotNull()
+    text = F.when(changed, F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n")) \
+        .otherwise(F.col("row.text"))
     out = []
-    for name in names:
+    for name in docs.columns:
+        column = F.col("row").getField(name)
         if name == "text":
-            out.append(text.alias("text"))
+            column = text
         elif name == "n_chars":
-            out.append(F.when(F.col("_kept").isNotNull(),
-                              F.length(F.array_join("_kept", "\n")).cast(docs.schema[name].dataType))
-                       .otherwise(F.col(name)).alias(name))
-        else:
-            out.append(F.col(f"`{name}`"))
+            column = F.when(changed, F.length(text).cast(docs.schema[name].dataType)) \
+                .otherwise(column)
+        out.append(column.alias(name))
     if counts:
-        n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every)).cast("long")
+        n = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(every)).cast("long")
         out += [n.alias("n_lines"),
-                F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed")]
+                F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)

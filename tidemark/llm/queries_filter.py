@@ -58,7 +58,7 @@ WITH line AS (
          generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 norm AS (SELECT *, trim(l, ' ') AS k FROM line),
 bad AS (
-  SELECT k, min(doc_id) AS first_doc FROM norm WHERE len(string_split(k, ' ')) >= 5
+  SELECT k, min(doc_id) AS first_doc FROM norm WHERE k <> ''
   GROUP BY k HAVING count(DISTINCT source) >= 5),
 first AS (SELECT doc_id, k, min(pos) AS pos FROM norm GROUP BY doc_id, k),
 mark AS (
