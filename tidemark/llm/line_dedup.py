@@ -15,9 +15,10 @@ are told apart by site and text; only rows equal in all three are one document
 and keep the same lines.
 
 DataFrame functions only.  A line on a third of all documents is one partial
-sketch per task; the boilerplate (hash, first document) is written once and
-broadcast if a count of it says that it is small, joined by a shuffle beyond
-that; texts are shuffled once, to meet the places to drop from them.
+sketch per task; hashes that may be boilerplate are broadcast if a count of
+them says that they are few, joined by a shuffle beyond that, and the places
+where they occur are written once; texts are shuffled once, to meet the places
+to drop from them.
 
 Defined results: null or empty texts stay as they are; null sites do not count
 as a site; rows without id come after those with one.  ``n_chars``, if
@@ -36,71 +37,69 @@ from tidemark.operators.joins import join_dimension
 BROADCAST_LINES = 100_000
 
 
-def _document_key() -> Column:
-    """16 bytes that name a document: its id, site and text."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.unhex(F.md5(F.concat_ws("\n", part(F.col("doc_id").cast("string")),
-                                     part(F.col("source").cast("string")), F.col("text"))))
+def _document() -> list[Column]:
+    """128 bits that name a document: two hashes of its id, site and text."""
+    parts = F.col("doc_id"), F.col("source"), F.col("text")
+    return [F.xxhash64(F.lit(n), F.col("doc_id").isNull(), F.col("source").isNull(),
+                       *parts).alias(f"d{n}") for n in (1, 2)]
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc, doc_id, site, pos, h``: one row per line that is looked at."""
+def _lines(docs: DataFrame, min_words: int, *columns) -> DataFrame:
+    """``pos, h`` and some columns of the documents: one row per line that is
+    looked at."""
     cut = docs.where(F.col("text").isNotNull()).select(
-        _document_key().alias("doc"), "doc_id", F.col("source").alias("site"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        *columns, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.trim("line")
     long_enough = line != "" if min_words <= 1 else (line != "") & (
         F.size(F.split(line, " ")) >= min_words)
-    return cut.where(long_enough).select("doc", "doc_id", "site", "pos",
-                                         F.xxhash64(line).alias("h"))
+    return cut.where(long_enough).withColumn("h", F.xxhash64(line)).drop("line")
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
-                      lg_k: int = 12) -> DataFrame:
-    """``h, sites, first``: hashes of lines on at least ``min_sites`` sites, and
-    the key of the document that keeps one."""
-    lines = _lines(docs, min_words)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("site").isNull(),
-                     F.col("site"), F.col("doc"))
+def boilerplate_hits(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
+                     lg_k: int = 12) -> DataFrame:
+    """``h, sites, doc_id, site, d1, d2, pos``: every occurrence of a line on at
+    least ``min_sites`` sites."""
+    site = F.col("source").alias("site")
     # three standard errors of the sketch, one site at least
     band = max(1.0, 3 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    sketched = (lines.groupBy("h")
-                .agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"),
-                     F.min(order).alias("first"))
-                .select("h", F.col("first.doc").alias("first"),
-                        F.hll_sketch_estimate("sketch").alias("sites"))
+    sketched = (_lines(docs, min_words, site).groupBy("h")
+                .agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+                .select("h", F.hll_sketch_estimate("sketch").alias("sites"))
                 .where(F.col("sites") >= min_sites - band))
-    far = sketched.where(F.col("sites") > min_sites + band)
-    near = sketched.where(F.col("sites") <= min_sites + band)
-    exact = (lines.join(near.select("h", "first"), "h")
-             .groupBy("h", "first").agg(F.countDistinct("site").alias("sites"))
+    near_or_far = materialize(docs.sparkSession, sketched, "spread_lines")
+    hits = materialize(docs.sparkSession, join_dimension(
+        _lines(docs, min_words, "doc_id", site, *_document()), near_or_far, "h",
+        max_rows=BROADCAST_LINES), "line_hits")
+    near = F.col("sites") <= min_sites + band
+    exact = (hits.where(near).groupBy("h").agg(F.countDistinct("site").alias("sites"))
              .where(F.col("sites") >= min_sites))
-    return far.select("h", "sites", "first").unionByName(exact)
+    return hits.where(~near).unionByName(
+        join_dimension(hits.where(near).drop("sites"), exact, "h", max_rows=BROADCAST_LINES))
 
 
 def lines_to_drop(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
                   lg_k: int = 12) -> DataFrame:
-    """``doc, places``: positions of the lines that go, per document."""
-    found = materialize(docs.sparkSession,
-                        boilerplate_lines(docs, min_sites, min_words, lg_k).select("h", "first"),
-                        "boilerplate")
-    hits = join_dimension(_lines(docs, min_words).select("doc", "pos", "h"), found, "h",
-                          max_rows=BROADCAST_LINES)
+    """``d1, d2, places``: positions of the lines that go, per document."""
+    hits = boilerplate_hits(docs, min_sites, min_words, lg_k)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("site").isNull(), "site", "d1", "d2")
+    first = hits.groupBy("h").agg(F.min(order).alias("first"))
     # places of one line in one document; rows that repeat a document add nothing
-    per_line = hits.groupBy("doc", "h", "first").agg(F.collect_set("pos").alias("at"))
-    gone = F.when(F.col("first") == F.col("doc"),
-                  F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
-    return (per_line.select("doc", gone.alias("gone")).where(F.size("gone") > 0)
-            .groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("places")))
+    per_line = hits.groupBy("d1", "d2", "h").agg(F.collect_set("pos").alias("at"))
+    keeps = (F.col("first.d1") == F.col("d1")) & (F.col("first.d2") == F.col("d2"))
+    gone = F.when(keeps, F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
+    return (join_dimension(per_line, first, "h", max_rows=BROADCAST_LINES)
+            .select("d1", "d2", gone.alias("gone")).where(F.size("gone") > 0)
+            .groupBy("d1", "d2").agg(F.flatten(F.collect_list("gone")).alias("places")))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_words: int = 1,
                      lg_k: int = 12, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``.  With ``counts``
     the columns ``n_lines`` and ``n_removed`` are appended."""
-    drop = lines_to_drop(docs, min_sites, min_words, lg_k).withColumnRenamed("doc", "of")
-    rows = docs.select(_document_key().alias("doc"), packed(docs).alias("row"))
-    joined = rows.join(drop, (F.col("doc") == F.col("of")) & F.col("row.text").isNotNull(), "left")
+    drop = lines_to_drop(docs, min_sites, min_words, lg_k).toDF("of1", "of2", "places")
+    rows = docs.select(*_document(), packed(docs).alias("row"))
+    joined = rows.join(drop, (F.col("d1") == F.col("of1")) & (F.col("d2") == F.col("of2"))
+                       & F.col("row.text").isNotNull(), "left")
     every = F.split("row.text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("places"))
     changed = F.col("places").isNotNull()
