@@ -106,3 +106,16 @@ def test_tables_from_paths_with_contracts(spark, tmp_path):
     b = sorted((r.user_id, r.max_funnel_stage) for r in
                funnel_stages(t.users, t.user_events, t.subscriptions).collect())
     assert a == b          # string ids and integer ids give the same funnel
+
+
+def test_broadcast_bound_of_bytes_and_new_files(spark, tmp_path, monkeypatch):
+    from tidemark.operators import joins
+    wide = spark.range(50).selectExpr("id", "repeat('x', 1000) AS t")
+    assert fits_broadcast(wide, 100)
+    monkeypatch.setattr(joins, "DEFAULT_MAX_BROADCAST_BYTES", 20_000)
+    assert not fits_broadcast(wide, 100) and fits_broadcast(wide.select("id"), 100)
+    path = str(tmp_path / "dim")
+    spark.range(50).write.parquet(path)
+    assert fits_broadcast(spark.read.parquet(path), 60)
+    spark.range(50).write.mode("append").parquet(path)
+    assert not fits_broadcast(spark.read.parquet(path), 60)

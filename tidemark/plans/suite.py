@@ -6,6 +6,8 @@ One declaration per test; ``spark_suite`` turns it into DataFrames and
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import quality as Q
@@ -149,16 +151,27 @@ def driver_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from tidemark.operators import revenue as RV
     from tidemark.sources import bindings as B
     from tidemark.sources import literals as L
-    from tidemark.sources.sinks import scratch_table_path, sink_table
+    from tidemark.sources.sinks import scratch_table_path
 
     def written(df: DataFrame, name: str) -> DataFrame:
-        return sink_table(df, scratch_table_path(spark, f"suite_{name}"))
+        path = scratch_table_path(spark, f"suite_{name}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     users, events, subs = (B.users(spark, sf_dir), B.user_events(spark, sf_dir),
                            B.subscriptions(spark, sf_dir))
     # models that several tests read are written once to the shared folder, as a
-    # warehouse tests the tables it built; facts keep the columns under test
-    dim = written(M.dim_users(users, events, subs), "dim_users")
+    # warehouse tests the tables it built; facts keep the columns under test.
+    # The writes do not depend on each other and run side by side
+    models = {
+        "dim_users": M.dim_users(users, events, subs),
+        "fct_user_events": M.fct_user_events(users, events).select(
+            "event_id", "user_id", "event_type", "event_timestamp"),
+        "fct_subscriptions": M.fct_subscriptions(users, subs).select(
+            "subscription_id", "user_id")}
+    with ThreadPoolExecutor(len(models)) as pool:
+        built = dict(zip(models, pool.map(lambda m: written(models[m], m), models)))
+    dim = built["dim_users"]
     span = subs.agg(F.min(F.to_date("started_at")).alias("lo"),
                     F.max(F.to_date("started_at")).alias("hi"))
     return {
@@ -169,10 +182,8 @@ def driver_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "dim_users": dim,
         "dim_plans": L.dim_plans(spark), "dim_features": L.dim_features(spark),
         "dim_date": M.dim_date(spark, F.col("lo"), F.col("hi"), bounds=span),
-        "fct_user_events": written(M.fct_user_events(users, events).select(
-            "event_id", "user_id", "event_type", "event_timestamp"), "fct_user_events"),
-        "fct_subscriptions": written(M.fct_subscriptions(users, subs).select(
-            "subscription_id", "user_id"), "fct_subscriptions"),
+        "fct_user_events": built["fct_user_events"],
+        "fct_subscriptions": built["fct_subscriptions"],
         "funnel_snapshot": M.snapshot_from(dim),
         "mrr_waterfall": RV.mrr_waterfall(subs, B.MRR_FIRST_MONTH, B.MRR_LAST_MONTH),
     }
