@@ -2,13 +2,15 @@
 
 Fixed forms are assignments to names such as ``password`` or ``api_key``,
 access key ids and long runs of hex digits.  Beyond them, candidate strings
-(runs of letters, digits and ``+/_=-`` with a digit) are searched with a
-sliding window: counts of the window's characters are updated by the one that
-enters and the one that leaves, and with them the sum of c * log2(c), from which
-the window's Shannon entropy follows.  The threshold depends on the character
-class of the candidate (hex digits, or letters and digits mixed; a run of
-letters alone is a word).  Windows at or above it are merged into spans, unless
-the candidate is on the allow list or the span overlaps a fixed form.
+(all runs of 16 or more letters, digits and ``+/_=-``) are searched with a
+sliding window of 20 characters, or 16 in runs shorter than that: counts of the
+window's characters are updated by the one that enters and the one that leaves,
+and with them the sum of c * log2(c), from which the window's Shannon entropy
+follows.  The threshold depends on the window and on the character class of
+the candidate: hex digits, letters and digits mixed, letters of both cases,
+letters of one case (of 20 or more only: shorter words of a language reach the
+same entropy).  Windows at or above it are merged into spans, unless the
+candidate is on the allow list or the span overlaps a fixed form.
 
 DataFrame functions only, one pass over each text, nothing is shuffled.  Sums
 are integers (millionths), so results do not depend on the order of updates.
@@ -19,7 +21,7 @@ are scanned alike; other columns pass unchanged.
 
 from __future__ import annotations
 
-from math import floor, log2
+from math import ceil, floor, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"'
           r"([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]{12,}"          # a shorter run fails as a whole: no other match in it
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",     # UUID
@@ -39,8 +41,15 @@ ALLOWED = (
     r"^[0-9+/_=-]+$",                                            # numbers and rules
     r"^[a-z0-9_-]*(/[a-z0-9_-]*){2,}$",                          # paths
 )
-WINDOW = 20
-HEX_BITS, MIXED_BITS = 3.0, 3.75
+# Class of a candidate (the first whose pattern finds something), and the least
+# entropy of a window of 20 and of 16 characters; None: not looked at.
+CLASSES = (
+    (r"^[0-9a-fA-F]+$", 3.0, 2.75),
+    (r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", 3.75, 3.5),
+    (r"[a-z].*[A-Z]", 3.85, 3.6),
+    (r"[A-Za-z]", 3.7, None),
+)
+LONG, SHORT = 20, 16
 MILLION = 1_000_000
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
@@ -68,7 +77,7 @@ def _sum_limit(bits: float, window: int) -> int:
     return floor((log2(window) - bits) * window * MILLION + 1e-6)
 
 
-def hot_ranges(word: Column, limit: Column, window: int = WINDOW) -> Column:
+def hot_ranges(word: Column, limit: Column, window: int = LONG) -> Column:
     """array<struct<start, end>>: merged windows of a word whose entropy sum is
     at most ``limit``."""
     weight = F.array(*[F.lit(round(c * log2(c) * MILLION) if c else 0).cast("long")
@@ -105,8 +114,8 @@ def hot_ranges(word: Column, limit: Column, window: int = WINDOW) -> Column:
     return F.aggregate(moves, first, slide, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BITS,
-                 mixed_bits: float = MIXED_BITS, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def find_secrets(docs: DataFrame, classes=CLASSES,
+                 allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``docs`` plus ``base`` and ``added``: arrays of (start, rank, kind, end),
     sorted; ``rank`` is the place of the kind in KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -127,10 +136,27 @@ def find_secrets(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BI
             fine = fine | s["hit"].rlike(pattern)
         return ~fine
 
+    def by_class(word, window, value):
+        """``value`` (of bits) of the class of a word, null if it has none."""
+        out = F.lit(None)
+        for pattern, *bits in reversed(classes):
+            own = bits[window == SHORT]
+            out = F.when(word.rlike(pattern), F.lit(None) if own is None else
+                         F.lit(value(own)).cast("long")).otherwise(out)
+        return out
+
+    def hot(word, window):
+        # a window has no more entropy than log2 of the word's different characters
+        enough = F.size(F.array_distinct(F.split(word, ""))) >= by_class(
+            word, window, lambda bits: ceil(2 ** bits - 1e-9))
+        limit = by_class(word, window, lambda bits: _sum_limit(bits, window))
+        return F.when(enough, hot_ranges(word, limit, window)).otherwise(
+            F.array().cast("array<struct<start:int,end:int>>"))
+
     def ranges(s):
-        limit = F.when(s["hit"].rlike("^[0-9a-fA-F]+$"), F.lit(_sum_limit(hex_bits, window))) \
-            .otherwise(F.lit(_sum_limit(mixed_bits, window))).cast("long")
-        return F.transform(hot_ranges(s["hit"], limit, window), lambda r: F.struct(
+        spans = F.when(F.length(s["hit"]) >= LONG, hot(s["hit"], LONG)) \
+            .otherwise(hot(s["hit"], SHORT))
+        return F.transform(spans, lambda r: F.struct(
             (s["start"] + r["start"]).alias("start"), (s["start"] + r["end"]).alias("end")))
     found = F.flatten(F.transform(F.filter(located(text, CANDIDATE), suspicious), ranges))
     new = F.filter(found, lambda r: ~F.exists(
