@@ -102,11 +102,11 @@ def test_components(spark):
 def test_line_dedup(spark):
     hot = "this line is on every site"
     texts = [f"start number {i} of the text\n{hot}\nend\n{hot}" for i in range(6)] + [None, "", hot]
-    got = {r.doc_id: r for r in drop_boilerplate(docs_df(spark, texts), counts=True).collect()}
+    got = {r.doc_id: r for r in drop_boilerplate(docs_df(spark, texts), min_words=5, counts=True).collect()}
     assert got[0].text == f"start number 0 of the text\n{hot}\nend" and got[0].n_removed == 1
     assert got[3].text == "start number 3 of the text\nend" and got[3].n_chars == len(got[3].text)
     assert got[6].text is None and got[7].text == "" and got[8].text == ""
-    few = drop_boilerplate(docs_df(spark, texts, sources=["a", "b", None] * 3))
+    few = drop_boilerplate(docs_df(spark, texts, sources=["a", "b", None] * 3), min_words=5)
     assert [r.text for r in few.orderBy("doc_id").collect()] == texts
     assert few.columns == docs_df(spark, texts).columns
     assert drop_boilerplate(docs_df(spark, texts).limit(0)).count() == 0
@@ -353,12 +353,46 @@ def test_pipeline_stages_against_their_operators(spark):
     assert {r.doc_id for r in out} == kept and all(r.round_trip for r in out)
 
 
-def test_fingerprint_query_digests(spark):
+def test_fingerprint_query_columns(spark):
     from tidemark.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"
     texts = [t or "" for _, t in sorted(common.table(spark, sf, "documents").select(
         "doc_id", "text").collect(), reverse=True)]
     got = QUERIES["op10_winnowing_fingerprints"](spark, sf).orderBy(F.desc("doc_id")).collect()
+    assert len(got) == len(texts)
+
+    def share(a, b):
+        a, b = (set(read(x)[0].tolist()) for x in (a, b))
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
     for i, r in enumerate(got):
-        new = edited(texts[i], texts[(i + 1) % len(texts)])
+        follow = texts[(i + 1) % len(texts)]
+        new = edited(texts[i], follow)
+        own, changed, other = (spell(*next(winnow([t]))) for t in (texts[i], new, follow))
+        assert r.n_chars == len(texts[i])
         assert r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (own, changed)
+        assert abs(r.near_edited - share(own, changed)) < 1e-9
+        assert abs(r.near_next - share(own, other)) < 1e-9
+
+
+def test_next_texts_of_repeated_and_null_ids(spark):
+    """A third of the rows without id, a third of one id, many of them equal:
+    the ranges stay small and every row is followed by the one after it."""
+    rng = random.Random(9)
+    rows = [(None, f"n{rng.randrange(400)}") for _ in range(400)]
+    rows += [(7, f"t{rng.randrange(300)}") for _ in range(200)] + [(7, "same")] * 300
+    rows += [(i, f"own {i}") for i in range(100, 400)]
+    docs = docs_df(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(6)
+    sizes = []
+    out = with_next_text(spark, docs, lambda f: [f.assign(n=f["next"])[["doc_id", "text", "n"]]],
+                         "doc_id long, text string, n string", ranges=12)
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+             .collect()]
+    assert max(sizes) < 450, sizes                     # no group fills one task
+    got = collections.Counter(map(tuple, out.collect()))
+    h = {r.t: r.h for r in docs.select(F.col("text").alias("t"),
+                                       F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]], r[1]))
+    want = collections.Counter((i, t, order[(k + 1) % len(order)][1])
+                               for k, (i, t) in enumerate(order))
+    assert got == want

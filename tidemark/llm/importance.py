@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialize, python_tasks
+from tidemark.llm.streams import lean
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -74,7 +75,7 @@ def bucket_counts(spark: SparkSession, docs: DataFrame, buckets: int = BUCKETS)
                 total += np.bincount(feature_buckets(t, buckets)[1], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total)],
                                          names=["bucket", "n"])
-    rows = (docs.select("text").mapInArrow(count, "bucket long, n long")
+    rows = (docs.select("text").mapInArrow(lean(count), "bucket long, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     out = np.zeros(buckets, dtype=np.int64)
     for r in rows:
@@ -147,7 +148,7 @@ def weigh(spark: SparkSession, docs: DataFrame, gains: np.ndarray) -> DataFrame:
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields
               if f.name != "text"]
-    return docs.mapInArrow(score, ", ".join(
+    return docs.mapInArrow(lean(score), ", ".join(
         [*fields, "n_words long, n_features long, weight long"]))
 
 
