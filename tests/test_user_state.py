@@ -99,3 +99,36 @@ def test_stream_of_signups_and_events(spark, tmp_path):
     more_u.coalesce(1).write.mode("append").parquet(folders["users"])
     more_e.coalesce(1).write.mode("append").parquet(folders["events"])
     assert run() == expected(u.union(more_u), e.union(more_e))
+
+
+def test_stream_state_is_kept_by_bucket(spark, tmp_path):
+    """Users of a bucket are brought up to date by one call, each as if alone."""
+    ids = [f"u{k}" for k in range(60)]
+    late = ids[::2]
+    folders = {n: str(tmp_path / n) for n in ("users", "events")}
+    base = scratch_path(spark, "bucket_streams")
+
+    def run(users, events):
+        u, e = users_df(spark, users), events_df(spark, events)
+        for name, df in (("users", u), ("events", e)):
+            df.coalesce(1).write.mode("append").parquet(folders[name])
+        q = SQ.funnel_snapshot_join_stream(
+            SQ.read_stream(spark, folders["events"], e.schema),
+            SQ.read_stream(spark, folders["users"], u.schema), f"{base}/t", f"{base}/c",
+            buckets=4)
+        rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress
+                if p["stateOperators"]]
+        assert rows and max(rows) <= 4
+        return {r.user_id: r for r in SQ.read_result(spark, f"{base}/t").collect()}
+
+    day = "2024-01-{:02d} 00:00:00".format
+    got = run([(i, day(1)) for i in ids if i not in late],
+              [(f"a{i}", i, "member_invited", day(9 + k % 3)) for k, i in enumerate(ids)]
+              + [(f"b{i}", i, "x", day(1)) for i in ids])
+    assert set(got) == set(ids) - set(late)
+    # the others arrive; those of before are sent again and keep the first signup
+    got = run([(i, day(1) if i in late else day(5)) for i in ids],
+              [(f"c{i}", i, "board_created", day(8)) for i in ids])
+    assert {(i, str(r.created_first_board_at), str(r.invited_first_member_at),
+             str(r.active_in_week_2_at)) for i, r in got.items()} == {
+        (i, day(8), day(9 + k % 3), day(8)) for k, i in enumerate(ids)}

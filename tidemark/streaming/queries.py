@@ -5,7 +5,7 @@
                          milestone minimums, update mode -> keyed upsert
   funnel_snapshot_join_stream
                          events and signups as two streams -> one keyed state
-                         per user, update mode -> keyed upsert
+                         of all users, update mode -> keyed upsert
   weekly_signups_stream  users -> 7-day tumbling windows that
                          start on Mondays, update mode -> keyed upsert
 
@@ -17,6 +17,7 @@ then stop) unless a processing-time trigger is given.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,66 +101,103 @@ def funnel_snapshot_stream(events: DataFrame, users: DataFrame, target: str, che
                 processing_time)
 
 
-_STATE = "signed_up long, board long, invite long, week2 long, pending array<long>"
+_STATE = "users binary, waiting binary"
 _MICROS = ("signed_up", "board", "invite", "week2")
 _DAY = 86_400_000_000
+_NEVER = (1 << 63) - 1                  # stands for no time: the least of times passes over it
 
 
-def _milestones(spec: FunnelSpec):
-    """State of one user: times in microseconds; until the signup is known, the
-    times of all events, as any may turn out to be in week 2."""
-    def least(have, found):
-        found = found.dropna()
-        new = [int(found.min())] if len(found) else []
-        return min(new + ([] if have is None else [have]), default=None)
+def _milestones(spec: FunnelSpec, most: int = 50_000):
+    """State of one bucket of users: per user times in microseconds; until the
+    signup is known, the times of all events, as any may turn out to be in
+    week 2.  About ``most`` rows of a micro-batch are held at once, beside the
+    distinct ones.  Tasks get it whole, with nothing of this package."""
+    lo, hi = spec.week2_from_days * _DAY, spec.week2_to_days * _DAY
+
+    def to_bytes(frame):
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        return out.getvalue().to_pybytes()
+
+    def from_bytes(data):
+        return pa.ipc.open_stream(data).read_all().to_pandas()
+
+    def least(frames):
+        return pd.concat(frames).groupby("user_id", sort=False, dropna=False, as_index=False).min()
 
     def step(key, frames, state):
-        signed_up, board, invite, week2, pending = \
-            state.get if state.exists else (None, None, None, None, ())
-        times = set(pending)
+        users, waiting = (from_bytes(x) for x in state.get) if state.exists else (None, None)
+        found, times, held = [], [], []
+
+        def fold():
+            rows = pd.concat(held)
+            held.clear()
+            found[:] = [least(found + [rows[["user_id", "signed_up", "board", "invite"]]])]
+            seen = rows.loc[rows["at"] != _NEVER, ["user_id", "at"]]
+            times[:] = [pd.concat(times + [seen]).drop_duplicates()]
         for pdf in frames:
-            if signed_up is None:
-                signed_up = least(None, pdf["signed_up"])
-            board = least(board, pdf["at"][pdf["event_type"] == spec.board_event])
-            invite = least(invite, pdf["at"][pdf["event_type"] == spec.invite_event])
-            times.update(pdf["at"].dropna().astype("int64").tolist())
-        if signed_up is not None:
-            lo, hi = (signed_up + d * _DAY for d in (spec.week2_from_days, spec.week2_to_days))
-            week2 = min([t for t in times if lo <= t < hi] + ([] if week2 is None else [week2]),
-                        default=None)
-            times = set()
-        state.update((signed_up, board, invite, week2, sorted(times)))
-        if signed_up is not None:
-            yield pd.DataFrame([(key[0], signed_up, board, invite, week2)],
-                               columns=["user_id", *_MICROS]).astype(
-                                   {c: "Int64" for c in _MICROS})
+            held.append(pdf)
+            if sum(map(len, held)) >= most:
+                fold()
+        if held:
+            fold()
+        new = found[0].assign(week2=_NEVER)
+        touched = new["user_id"]
+        if users is not None:
+            # a user sent again keeps the first signup
+            have = users.loc[users["signed_up"] != _NEVER, "user_id"]
+            new.loc[touched.isin(have), "signed_up"] = _NEVER
+            times.insert(0, waiting)
+            new = least([users, new])
+        seen = pd.concat(times).drop_duplicates().merge(new[["user_id", "signed_up"]], "left",
+                                                        "user_id")
+        known = seen["signed_up"] != _NEVER
+        after = seen["at"][known] - seen["signed_up"][known]
+        in_week2 = seen[known][(after >= lo) & (after < hi)]
+        if len(in_week2):
+            new = least([new, in_week2[["user_id"]].assign(
+                signed_up=_NEVER, board=_NEVER, invite=_NEVER, week2=in_week2["at"])])
+        state.update((to_bytes(new), to_bytes(seen.loc[~known, ["user_id", "at"]])))
+        yield new[new["user_id"].isin(touched) & (new["signed_up"] != _NEVER)][
+            ["user_id", *_MICROS]]
     return step
 
 
 def funnel_snapshot_join_stream(events: DataFrame, signups: DataFrame, target: str,
                                 checkpoint: str, spec: FunnelSpec = FunnelSpec(),
-                                processing_time: str | None = None):
+                                processing_time: str | None = None, buckets: int = 1024):
     """The accumulating snapshot of two streams: users arrive as a stream, too,
     before or after their events.  Both are one keyed state, so there is no
     static side that goes stale or grows; a user has a row from signup on, with
     or without events.  The state of a user is four times, and the times of the
     events that came before the user did; a user sent again keeps the first
-    signup.  Events of users that never arrive stay in the state."""
-    micros = lambda c: F.unix_micros(F.col(c).cast(LTZ))  # noqa: E731  (UTC session)
-    none = lambda t: F.lit(None).cast(t)
-    rows = signups.select("user_id", none("string").alias("event_type"),
-                          none("long").alias("at"), micros("signed_up_at").alias("signed_up")) \
-        .unionByName(events.select("user_id", "event_type", micros("event_timestamp").alias("at"),
-                                   none("long").alias("signed_up"))) \
-        .where(F.col("user_id").isNotNull())
+    signup.  Events of users that never arrive stay in the state.
+
+    Users are dealt into ``buckets`` by a hash of their id, and a bucket's are
+    brought up to date together: a Python call per user costs milliseconds.
+    The number belongs to the checkpoint, as the state is kept by bucket."""
+    micros = lambda c: F.coalesce(F.unix_micros(c.cast(LTZ)), F.lit(_NEVER))  # noqa: E731  (UTC session)
+    never = F.lit(_NEVER)
+    at, kind = F.col("event_timestamp"), F.col("event_type")
+    rows = signups.select("user_id", micros(F.col("signed_up_at")).alias("signed_up"),
+                          never.alias("board"), never.alias("invite"), never.alias("at")) \
+        .unionByName(events.select(
+            "user_id", never.alias("signed_up"),
+            micros(F.when(kind == spec.board_event, at)).alias("board"),
+            micros(F.when(kind == spec.invite_event, at)).alias("invite"),
+            micros(at).alias("at"))) \
+        .where(F.col("user_id").isNotNull()) \
+        .withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
     user_type = dict(rows.dtypes)["user_id"]
     out = ", ".join([f"user_id {user_type}", *(f"{c} long" for c in _MICROS)])
-    found = rows.groupBy("user_id").applyInPandasWithState(
-        _milestones(spec), out, _STATE, "update", "NoTimeout")
-    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    snapshot = found.select("user_id", at("board").alias("created_first_board_at"),
-                            at("invite").alias("invited_first_member_at"),
-                            at("week2").alias("active_in_week_2_at"))
+    found = rows.groupBy("bucket").applyInPandasWithState(_milestones(spec), out, _STATE, "update",
+                                                          "NoTimeout")
+    time = lambda c: F.timestamp_micros(F.nullif(c, never)).cast("timestamp_ntz")
+    snapshot = found.select("user_id", time(F.col("board")).alias("created_first_board_at"),
+                            time(F.col("invite")).alias("invited_first_member_at"),
+                            time(F.col("week2")).alias("active_in_week_2_at"))
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
         upsert_by_key(batch, target, ["user_id"])
