@@ -60,3 +60,34 @@ def test_rare_contexts_are_tested_too(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, df).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
+def test_preparing_holds_symbols_not_texts(monkeypatch):
+    """A task holds about one byte a character of the chunk it gathers."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.llm import suffix_tree
+    monkeypatch.setattr(suffix_tree, "TaskContext", SimpleNamespace(
+        get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    table = np.ones(0x110000, dtype=np.uint8)
+    table[32:94] = np.arange(2, 64)
+
+    def batches(n):
+        draw = random.Random(1)
+        for _ in range(n):
+            yield pd.DataFrame({"doc_id": range(50), "text": [
+                "".join(draw.choices("abcdefgh é", k=1000)) for _ in range(50)]})
+
+    def peak(n):
+        tracemalloc.start()
+        for _ in suffix_tree._preparer(table, {b"a": 3}, 16)(batches(n)):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+    assert peak(80) - peak(40) < 2 * 2_000_000          # bytes for 2 M more characters

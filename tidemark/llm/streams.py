@@ -12,6 +12,15 @@ import pandas as pd
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Return the memory that was freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(step: Callable) -> Callable:
     """``step`` (batches to batches) that returns the memory it has freed to
     the system when the task ends: workers wait for their next task, and what
@@ -20,11 +29,7 @@ def lean(step: Callable) -> Callable:
         try:
             yield from step(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
     return run
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, python_tasks
-from tidemark.llm.streams import group_starts, lean
+from tidemark.llm.streams import give_back, group_starts, lean
 from tidemark.llm.words import chunks
 
 DEPTH, BITS = 5, 6
@@ -344,6 +344,7 @@ def _adder():
                 if r.bucket < 0:
                     if held is not None:
                         yield total(*held, answers)
+                        give_back()
                     held, answers = (r.symbols, r.lengths, r.row, r.buckets), []
                 else:
                     answers.append(r.logs)
@@ -370,9 +371,10 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
         return pd.DataFrame({c: pd.Series(list(columns.get(c, [None] * n)), dtype=object)
                              for c in names})
 
-    def whole(row, texts):
-        symbols, lengths = _packed(texts, table)
-        yield frame(row=[row], chunk=[row], symbols=[zlib.compress(symbols.tobytes(), 1)], lengths=[lengths],
+    def whole(row, packed):
+        symbols, lengths = (np.concatenate(x) for x in zip(*packed))
+        packed.clear()
+        yield frame(row=[row], chunk=[row], symbols=[zlib.compress(symbols, 1)], lengths=[lengths],
                     buckets=[buckets])
         grams = _distinct(symbols, lengths)
         where = _bucket(grams, buckets)
@@ -388,7 +390,10 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
 
     def prepare(batches):
         row = TaskContext.get().partitionId() << 40
-        held, size, first = [], 0, row
+        held, size, first = [], 0, row                     # of the chunk, as symbols
+
+        def hold(texts):
+            held.extend(_packed(texts[lo:hi], table) for lo, hi in chunks(texts))
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             total, known, base, rare, times = [], [], [], [], []
@@ -408,12 +413,15 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
             ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
             yield frame(row=np.arange(row, row + len(b)), doc_id=ids,
                         n_tokens=total, known=known, base=base, rare=rare, times=times)
-            for t in texts:
-                if held and size + len(t) > CHUNK:
+            lo = 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > CHUNK:
+                    hold(texts[lo:i])
                     yield from whole(first, held)
-                    first, held, size = first + len(held), [], 0
-                held.append(t)
+                    give_back()
+                    first, size, lo = row + i, 0, i
                 size += len(t) + DEPTH + 1
+            hold(texts[lo:])
             row += len(b)
         if held:
             yield from whole(first, held)
