@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 from math import log10
 from operator import mul
 
@@ -319,19 +320,23 @@ def _adder():
     def total(symbols, lengths, row, buckets, answers):
         symbols = np.frombuffer(zlib.decompress(symbols), np.uint8)
         lengths = np.asarray(lengths, np.int64)
-        # every run's grams as numbers of its distinct ones; of these, the chunk's
+        # every run's grams as numbers of its distinct ones; these as numbers of the chunk's
         held = []
         for padded, at, _ in _runs(symbols, lengths):
             code, own = pd.factorize(_grams(padded, at))
             held.append((code.astype(np.int32), own))
-        grams = _unique(np.concatenate([own for _, own in held]))
-        order = np.argsort(_bucket(grams, buckets), kind="stable")
+        number, grams = pd.factorize(np.concatenate([own for _, own in held]))
+        number = np.split(number, np.cumsum([len(own) for _, own in held])[:-1])
+        held = [code for code, _ in held]
+        # requests are in order of bucket, then gram
+        order = np.argsort(grams)
+        order = order[np.argsort(_bucket(grams[order], buckets), kind="stable")]
         logs = np.empty(len(grams), dtype=np.float32)
         logs[order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
         scores = []
-        for (padded, at, ends), (code, own) in zip(_runs(symbols, lengths), held):
+        for (padded, at, ends), code, own in zip(_runs(symbols, lengths), held, number):
             value = np.zeros(len(padded))
-            value[at] = logs[np.searchsorted(grams, own)][code]
+            value[at] = logs[own][code]
             value[padded == 1] -= log10(0x110000)
             scores.append(np.add.reduceat(value, np.concatenate([[0], ends[:-1]])))
         score = np.concatenate(scores)
@@ -398,16 +403,15 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             total, known, base, rare, times = [], [], [], [], []
             for t in texts:
-                seen = Counter(tokens(t))
+                words = tokens(t)
+                seen = Counter(words)
                 seen[b""] = 1
                 other = [w for w in seen if w not in logs]
                 often = [seen[w] for w in other]
-                n = seen.total()
+                n = len(words) + 1
                 total.append(n)
                 known.append(n - sum(often))
-                for w in other:
-                    del seen[w]
-                base.append(sum(map(mul, seen.values(), map(logs.__getitem__, seen))))
+                base.append(sum(map(mul, seen.values(), map(logs.get, seen, repeat(0.0)))))
                 rare.append(other)
                 times.append(often)
             ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
