@@ -29,14 +29,12 @@ most frequent share one symbol and are equally likely within it.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from itertools import repeat
 from math import log10
-from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +47,10 @@ DEPTH, BITS = 5, 6
 SYMBOLS = 1 << BITS                     # 0: text boundary, 1: any other character
 NEAR = 2                                # depth up to which all contexts are known everywhere
 SPREAD = 2654435761
-MANY = 300_000                          # entries a counting task holds before it passes them on
+MANY = 300_000                          # words a counting task holds before it passes them on
+RUN = 1 << 19                           # grams made and sorted at once
+SPARE = 63 - BITS * (DEPTH + 1)         # bits of a number free beside a gram
+LOW = (1 << SPARE) - 1
 CHUNK = 12_000_000                      # characters whose grams are asked for at once
 PIECE = 16_384                          # grams of a request
 
@@ -59,56 +60,61 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _packed(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts, one byte each, and the length of each text."""
+def _padded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts, one byte each, behind DEPTH boundaries each and
+    before one, and the length of each text."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return table[chars], np.array([len(t) for t in texts], dtype=np.int64)
-
-
-def _padded(symbols: np.ndarray, lengths: np.ndarray):
-    """Symbols of the texts behind DEPTH boundaries each and before one, which
-    of them are to be predicted, and the index behind each text."""
-    ends = np.cumsum(lengths + DEPTH + 1)
-    start = ends - lengths - 1
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(symbols)) + np.repeat(start - first, lengths)
-    out[at] = symbols
-    real = np.zeros(len(out), dtype=bool)
-    real[at] = True
-    real[ends - 1] = True
-    return out, np.flatnonzero(real), ends
-
-
-def _grams(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Symbol at each index and the DEPTH before it, the nearest in the lowest bits."""
-    gram = symbols[at].astype(np.int64)
-    for j in range(1, DEPTH + 1):
-        gram |= symbols[at - j].astype(np.int64) << (BITS * j)
-    return gram
-
-
-def _runs(symbols: np.ndarray, lengths: np.ndarray, most: int = 500_000):
-    """The padded symbols of the texts, some at a time."""
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    lo = 0
-    while lo < len(lengths):
-        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
-        hi = min(hi, lo + most // DEPTH, len(lengths))
-        yield _padded(symbols[first[lo]:first[hi]], lengths[lo:hi])
-        lo = hi
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = _ends(lengths)
+    edge = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int8)
+    edge[ends - 1 - lengths] += 1
+    edge[ends - 1] -= 1
+    out = np.zeros(len(edge), dtype=np.uint8)
+    out[np.cumsum(edge, dtype=np.int8).view(bool)] = table[chars]
+    return out, lengths
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    """Index behind each padded text."""
+    return np.cumsum(lengths + DEPTH + 1)
+
+
+def _runs(symbols: np.ndarray, lengths: np.ndarray):
+    """(index of the first symbol, which of the next are to be predicted, their
+    grams), some at a time, of padded texts.  A gram is a symbol and the DEPTH
+    before it, the nearest in the lowest bits."""
+    last = _ends(lengths) - 1
+    for lo in range(DEPTH, len(symbols), RUN):
+        part = symbols[lo - DEPTH:lo + RUN]
+        real = part[DEPTH:] != 0
+        a, b = np.searchsorted(last, [lo, lo + RUN])
+        real[last[a:b] - lo] = True
+        gram = part[DEPTH:].astype(np.int64)
+        for j in range(1, DEPTH + 1):
+            gram |= part[DEPTH - j:-j].astype(np.int64) << (BITS * j)
+        at = np.flatnonzero(real)
+        yield lo, at, gram[at]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ones."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
 
 
 def _unique(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values (by sorting: faster here than ``np.unique``)."""
-    values = np.sort(values)
-    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+    """Sorted distinct values (by sorting in place: faster here than ``np.unique``)."""
+    values.sort()
+    return values[_starts(values)]
 
 
 def _distinct(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sorted distinct grams of the texts."""
-    return _unique(np.concatenate([_unique(_grams(padded, at))
-                                   for padded, at, _ in _runs(symbols, lengths)]))
+    """Sorted distinct grams of padded texts."""
+    return _unique(np.concatenate([_unique(grams) for _, _, grams in _runs(symbols, lengths)]))
+
+
+def _by_place(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Numbers that sort grams by bucket, then gram."""
+    return _bucket(grams, buckets) << (63 - SPARE) | grams
 
 
 # ---- counting -------------------------------------------------------------
@@ -138,29 +144,51 @@ def _count_words(batches):
     yield pd.DataFrame({"char": at.astype(np.int32), "word": [b""] * len(at), "n": chars[at]})
 
 
+def _summed(counted: list[np.ndarray]) -> np.ndarray:
+    """Grams with their counts in the ``SPARE`` low bits: one of each gram, sorted."""
+    counted = np.concatenate(counted)
+    counted.sort()
+    grams = counted >> SPARE
+    starts = _starts(grams)
+    return grams[starts] << SPARE | np.add.reduceat(counted & LOW, starts)
+
+
 def _gram_counter(table: np.ndarray):
     def count(batches):
-        held, size = [], 0
-
-        def merged():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([n for _, n in held]))
-            return keys, n.astype(np.int64)
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for lo, hi in chunks(texts):
-                symbols, at, _ = _padded(*_packed(texts[lo:hi], table))
-                held.append(np.unique(_grams(symbols, at), return_counts=True))
-                size += len(held[-1][0])
-                if size > 4 * MANY:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 3 * MANY:
-                        yield pd.DataFrame({"gram": held[0][0], "n": held[0][1]})
-                        held, size = [], 0
+        held, size, total = [], 0, 0                       # total: what no count exceeds
+
+        def rows(counted):
+            for lo in range(0, len(counted), MANY):
+                part = counted[lo:lo + MANY]
+                yield pd.DataFrame({"gram": part >> SPARE, "n": part & LOW})
+
+        def padded():
+            texts, n = [], 0
+            for b in batches:
+                for t in b["text"]:
+                    texts.append(t if isinstance(t, str) else "")
+                    n += len(texts[-1]) + DEPTH + 1
+                    if n > RUN:
+                        yield _padded(texts, table)
+                        texts, n = [], 0
+            if texts:
+                yield _padded(texts, table)
+        for symbols, lengths in padded():
+            for _, _, grams in _runs(symbols, lengths):
+                if total + len(grams) > LOW:
+                    yield from rows(_summed(held))
+                    held, size, total = [], 0, 0
+                held.append(_summed([grams << SPARE | 1]))
+                size += len(held[-1])
+                total += len(grams)
+                if size > 6 * MANY:
+                    held = [_summed(held)]
+                    size = len(held[0])
+                    if size > 4 * MANY:
+                        yield from rows(held[0])
+                        held, size, total = [], 0, 0
         if held:
-            keys, n = merged()
-            yield pd.DataFrame({"gram": keys, "n": n})
+            yield from rows(_summed(held))
     return count
 
 
@@ -318,28 +346,29 @@ def _adder():
     """``row, score`` out of a chunk's symbols and the answers to its requests,
     sorted by chunk, bucket and piece, the symbols (bucket -1) first."""
     def total(symbols, lengths, row, buckets, answers):
-        symbols = np.frombuffer(zlib.decompress(symbols), np.uint8)
         lengths = np.asarray(lengths, np.int64)
-        # every run's grams as numbers of its distinct ones; these as numbers of the chunk's
-        held = []
-        for padded, at, _ in _runs(symbols, lengths):
-            code, own = pd.factorize(_grams(padded, at))
-            held.append((code.astype(np.int32), own))
-        number, grams = pd.factorize(np.concatenate([own for _, own in held]))
-        number = np.split(number, np.cumsum([len(own) for _, own in held])[:-1])
-        held = [code for code, _ in held]
-        # requests are in order of bucket, then gram
-        order = np.argsort(grams)
-        order = order[np.argsort(_bucket(grams[order], buckets), kind="stable")]
+        ends = _ends(lengths)
+        symbols = np.frombuffer(pa.decompress(symbols, int(ends[-1]), codec="zstd"), np.uint8)
+        # every run's grams as numbers of its distinct ones, from 1; then, in place, as their logs
+        code, held = np.zeros(len(symbols), dtype=np.int32), []
+        for lo, at, grams in _runs(symbols, lengths):
+            placed = np.sort(grams << SPARE | at)
+            grams = placed >> SPARE
+            starts = _starts(grams)
+            code[lo:lo + RUN][placed & LOW] = np.repeat(
+                np.arange(1, len(starts) + 1, dtype=np.int32), np.diff(starts, append=len(grams)))
+            held.append((lo, grams[starts]))
+        grams = _unique(np.concatenate([own for _, own in held]))
         logs = np.empty(len(grams), dtype=np.float32)
-        logs[order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers])
-        scores = []
-        for (padded, at, ends), code, own in zip(_runs(symbols, lengths), held, number):
-            value = np.zeros(len(padded))
-            value[at] = logs[own][code]
-            value[padded == 1] -= log10(0x110000)
-            scores.append(np.add.reduceat(value, np.concatenate([[0], ends[:-1]])))
-        score = np.concatenate(scores)
+        logs[np.argsort(_by_place(grams, buckets))] = np.concatenate(
+            [np.frombuffer(x, np.float32) for x in answers])
+        value = code.view(np.float32)
+        for lo, own in held:
+            of = np.concatenate([np.zeros(1, np.float32), logs[np.searchsorted(grams, own)]])
+            value[lo:lo + RUN] = of[code[lo:lo + RUN]]
+        first = ends - lengths - DEPTH - 1
+        score = (np.add.reduceat(value, first, dtype=np.float64)
+                 - log10(0x110000) * np.add.reduceat(symbols == 1, first, dtype=np.int64))
         return pd.DataFrame({"row": np.arange(row, row + len(score)), "score": score})
 
     def add(batches):
@@ -379,12 +408,10 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
     def whole(row, packed):
         symbols, lengths = (np.concatenate(x) for x in zip(*packed))
         packed.clear()
-        yield frame(row=[row], chunk=[row], symbols=[zlib.compress(symbols, 1)], lengths=[lengths],
-                    buckets=[buckets])
-        grams = _distinct(symbols, lengths)
-        where = _bucket(grams, buckets)
-        order = np.argsort(where, kind="stable")
-        grams, where = grams[order], where[order]
+        yield frame(row=[row], chunk=[row], lengths=[lengths], buckets=[buckets],
+                    symbols=[pa.compress(symbols, codec="zstd", asbytes=True)])
+        placed = np.sort(_by_place(_distinct(symbols, lengths), buckets))
+        grams, where = placed & ((1 << 63 - SPARE) - 1), placed >> (63 - SPARE)
         out = []
         starts = np.flatnonzero(np.diff(where, prepend=-1))
         for s, e in zip(starts, np.append(starts[1:], len(where))):
@@ -398,22 +425,20 @@ def _preparer(table: np.ndarray, heavy: dict[bytes, int], buckets: int):
         held, size, first = [], 0, row                     # of the chunk, as symbols
 
         def hold(texts):
-            held.extend(_packed(texts[lo:hi], table) for lo, hi in chunks(texts))
+            held.extend(_padded(texts[lo:hi], table) for lo, hi in chunks(texts))
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             total, known, base, rare, times = [], [], [], [], []
             for t in texts:
-                words = tokens(t)
-                seen = Counter(words)
-                seen[b""] = 1
-                other = [w for w in seen if w not in logs]
-                often = [seen[w] for w in other]
-                n = len(words) + 1
-                total.append(n)
-                known.append(n - sum(often))
-                base.append(sum(map(mul, seen.values(), map(logs.get, seen, repeat(0.0)))))
-                rare.append(other)
-                times.append(often)
+                words = [*tokens(t), b""]
+                found = list(map(logs.get, words))
+                other = Counter([w for w, x in zip(words, found) if x is None]) \
+                    if None in found else {}
+                total.append(len(words))
+                known.append(total[-1] - sum(other.values()))
+                base.append(sum(filter(None, found), 0.0))
+                rare.append(list(other))
+                times.append(list(other.values()))
             ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
             yield frame(row=np.arange(row, row + len(b)), doc_id=ids,
                         n_tokens=total, known=known, base=base, rare=rare, times=times)
@@ -502,7 +527,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, learn: DataFrame,
     scores = materialize(
         spark, whole.select("chunk", F.lit(-1).alias("bucket"), "row", "symbols", "lengths",
                             "buckets")
-        .unionByName(answers, allowMissingColumns=True)
+        .unionByName(answers.withColumns({"row": F.lit(0), "buckets": F.lit(buckets)}),
+                     allowMissingColumns=True)
         .repartition("chunk").sortWithinPartitions("chunk", "bucket", "piece")
         .select("bucket", "row", "symbols", "lengths", "buckets", "logs")
         .mapInPandas(lean(_adder()), "row long, score double"), "scores")
